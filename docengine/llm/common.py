@@ -61,36 +61,59 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def regex_spans(text: Column, pattern: str, kind: str, passes) -> Column:
-    """Spans (start, kind, end) of the leftmost non-overlapping matches, in code points, end exclusive.
+#: A span: code points from start to before end; rank is the place of its kind in the operator's list.
+SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
-    passes: from a match's text to a boolean column. The pieces between the matches and the matches themselves,
-    taken alternately, make up the text; their lengths give the positions.
-    """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = F.struct(matches.alias("m"), F.split(text, pattern, -1).alias("p"))
-    return _located(found, kind, passes)
+
+def span(start: Column, rank: int, kind: str, end: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+
+
+def no_spans(kind: str = SPAN) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def _located(found: Column, kind: str, passes) -> Column:
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+def bind(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use() mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def walk(one: Column) -> Column:
-        matches, pieces = one["m"], one["p"]
 
+def located(text: Column, pattern: str, emit, kind: str = SPAN) -> Column:
+    """All that emit(match, start, end) gives for the leftmost non-overlapping matches of pattern, in one array.
+
+    The pieces between the matches and the matches themselves, taken alternately, make up the text; their lengths in
+    code points give the positions.
+    """
+
+    def walk(matches: Column, pieces: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            match, start = F.get(matches, i), acc["at"] + F.length(F.get(pieces, i))
-            end = start + F.length(match)
-            span = F.struct(start.alias("start"), F.lit(0).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-            return F.struct(end.alias("at"), F.when(passes(match), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+            match = F.get(matches, i)
+            begin = acc["at"] + F.length(F.get(pieces, i))
+            return bind(F.struct(begin.alias("a"), (begin + F.length(match)).alias("b")), lambda x: F.struct(x["b"].alias("at"), F.concat(acc["spans"], emit(match, x["a"], x["b"])).alias("spans")))
 
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["spans"])).otherwise(empty)
+        start = F.struct(F.lit(0).alias("at"), no_spans(kind).alias("spans"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["spans"])
 
-    # transform() over one element evaluates the two scans once, however often walk() uses them
-    return F.get(F.transform(F.array(found), walk), 0)
+    def found(matches: Column) -> Column:
+        return F.when(F.size(matches) > 0, bind(F.split(text, pattern, -1), lambda pieces: walk(matches, pieces))).otherwise(no_spans(kind))
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
+
+
+def regex_spans(text: Column, pattern: str, rank: int, kind: str, passes=None) -> Column:
+    """The matches of pattern, of those that passes(match) allows, as spans."""
+    return located(text, pattern, lambda m, a, b: F.array(span(a, rank, kind, b)) if passes is None else F.when(passes(m), F.array(span(a, rank, kind, b))).otherwise(no_spans()))
+
+
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
 def joined_spans(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def any_case(letters: str) -> str:
+    """A pattern for ASCII letters in either case, without the flag that engines read differently beyond ASCII."""
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in letters)

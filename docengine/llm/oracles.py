@@ -29,4 +29,55 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op2_mix": OP2}
+
+
+def _spans(name: str, pattern: str, kind: str, rank: int, condition: str = "true") -> str:
+    """Rows doc_id, start, rank, kind, stop, m of the matches in d, from the lengths of pieces and matches."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+{name}_m AS (
+  SELECT doc_id, regexp_extract_all(text, '{quoted}') AS m, string_split_regex(text, '{quoted}') AS p FROM d WHERE regexp_matches(text, '{quoted}')
+), {name}_i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {name}_m
+), {name} AS (
+  SELECT doc_id, CAST(list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) AS INTEGER) AS start, {rank} AS rank, '{kind}' AS kind, m[i] AS m
+  FROM {name}_i WHERE {condition.replace("$m", "m[i]")}
+)"""
+
+
+def _op3() -> str:
+    from docengine.llm import secrets as s
+
+    f = "[" + ", ".join(map(str, s.weights()[1:])) + "]"
+    allowed = " OR ".join(f"regexp_matches(m, '{p}')" for p in s.ALLOWED)
+    assign = s.ASSIGN.replace("'", "''")
+    wide = "[A-Za-z0-9+/_=-]{%d,}" % s.WINDOW
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{_spans("a", s.ASSIGN, "assign", 0, f"len(regexp_extract($m, '{assign}', 2)) >= 6")},
+{_spans("k", "AKIA[A-Z0-9]+", "access", 1, "len($m) >= 20")},
+{_spans("h", "[0-9a-f]+", "hex", 2, "len($m) >= 24")},
+{_spans("c", wide, "entropy", 3, "regexp_matches($m, '[0-9]')")},
+w AS (
+  SELECT doc_id, start, m, unnest(range(0, len(m) - {s.WINDOW} + 1)) AS i,
+         CASE WHEN regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') THEN {s.limit(s.HEX_BITS)} ELSE {s.limit(s.WIDE_BITS)} END AS most
+  FROM c WHERE NOT ({allowed})
+), x AS (
+  SELECT doc_id, start, i, most, substr(m, CAST(i + 1 AS BIGINT), {s.WINDOW}) AS v FROM w
+), y AS (
+  SELECT doc_id, start, i FROM x WHERE list_sum(list_transform(list_distinct(string_split(v, '')), lambda q: {f}[{s.WINDOW} - len(replace(v, q, ''))])) <= most
+), e AS (
+  SELECT doc_id, CAST(start + min(i) AS INTEGER) AS start, 3 AS rank, 'entropy' AS kind, CAST(start + max(i) + {s.WINDOW} AS INTEGER) AS stop FROM y GROUP BY doc_id, start
+), b AS (
+  SELECT doc_id, start, rank, kind, start + len(m) AS stop FROM (SELECT * FROM a UNION ALL SELECT * FROM k UNION ALL SELECT * FROM h)
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS s FROM b GROUP BY doc_id
+), z AS (
+  SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS s FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(g.s, '')) AS base_sha256, coalesce(z.s, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN z ON d.doc_id = z.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3()}

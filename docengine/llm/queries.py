@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, mixing, quality
+from docengine.llm import bpe, mixing, pii, quality, secrets
 from docengine.llm.common import documents
 from docengine.llm.oracles import ORACLES
 
@@ -29,6 +29,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.scan(documents(spark, sf_dir), keep=["doc_id"]))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     assessed = quality.assess(documents(spark, sf_dir), keep=["doc_id"])
     return assessed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
