@@ -30,6 +30,21 @@ FROM r
 """
 
 
+OP5 = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
 
 def _spans(name: str, pattern: str, kind: str, rank: int, condition: str = "true") -> str:
     """Rows doc_id, start, rank, kind, stop, m of the matches in d, from the lengths of pieces and matches."""
@@ -80,4 +95,4 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN z ON d.doc_id = z.doc_id
 """
 
 
-ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3()}
+ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3(), "op5_topk": OP5}

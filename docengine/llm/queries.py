@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, mixing, pii, quality, secrets
-from docengine.llm.common import documents
+from docengine.llm import bpe, licenses, mixing, pii, quality, secrets, topk, toxicity
+from docengine.llm.common import documents, table
 from docengine.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +37,29 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.scan(documents(spark, sf_dir), keep=["doc_id"]))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = topk.search(rows, F.col("vec_id") % 20 == 0, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     assessed = quality.assess(documents(spark, sf_dir), keep=["doc_id"])
     return assessed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, index, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(documents(spark, sf_dir), keep=["doc_id"]))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
