@@ -95,4 +95,37 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN z ON d.doc_id = z.doc_id
 """
 
 
-ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3(), "op5_topk": OP5}
+OP10 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
+), o AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), t AS (SELECT line, len(line) AS n, min(doc_id) AS first FROM o GROUP BY line
+), long AS (SELECT * FROM t WHERE n >= 16
+), c AS (
+  SELECT a.line AS a, b.line AS b, a.n AS n, b.n AS m, a.first AS af, b.first AS bf FROM long a JOIN long b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.line < b.line
+  UNION
+  SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM long a JOIN long b ON b.n = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.line < b.line
+  UNION
+  SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM long a JOIN long b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+  UNION
+  SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM long a JOIN long b ON b.n = a.n + 1 AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
+), p AS (
+  SELECT *, coalesce(list_position(list_transform(range(1, n + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)), true), n + 1) AS diff FROM c
+), k AS (
+  SELECT * FROM p WHERE CASE WHEN n = m THEN substr(a, CAST(diff + 1 AS BIGINT)) = substr(b, CAST(diff + 1 AS BIGINT)) ELSE substr(a, CAST(diff AS BIGINT)) = substr(b, CAST(diff + 1 AS BIGINT)) END
+), near AS (
+  SELECT DISTINCT CASE WHEN af > bf OR (af = bf AND a > b) THEN a ELSE b END AS line FROM k
+), w AS (
+  SELECT o.doc_id, o.pos, o.line, near.line IS NOT NULL AS near,
+         near.line IS NOT NULL OR o.doc_id <> t.first OR row_number() OVER (PARTITION BY o.doc_id, o.line ORDER BY o.pos) > 1 AS gone
+  FROM o JOIN t ON o.line = t.line LEFT JOIN near ON o.line = near.line
+), g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT near) AS n_exact, count(*) FILTER (gone AND near) AS n_near FROM w GROUP BY doc_id
+), x AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN w ON l.doc_id = w.doc_id AND l.pos = w.pos WHERE coalesce(NOT w.gone, true) GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_exact, 0) AS n_exact, coalesce(g.n_near, 0) AS n_near, sha256(coalesce(x.text, '')) AS text_sha256
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3(), "op5_topk": OP5, "op10_line_dedup": OP10}

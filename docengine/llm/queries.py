@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, licenses, mixing, pii, quality, secrets, topk, toxicity
+from docengine.llm import bpe, licenses, line_dedup, mixing, pii, quality, secrets, topk, toxicity
 from docengine.llm.common import documents, table
 from docengine.llm.oracles import ORACLES
 
@@ -60,6 +60,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(documents(spark, sf_dir), keep=["doc_id"]))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
