@@ -128,4 +128,23 @@ SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_exact, 0) AS n_
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3(), "op5_topk": OP5, "op10_line_dedup": OP10}
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s
+), x AS (SELECT doc_id, unnest(s) AS h FROM s
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), k AS (
+  SELECT o.a, o.b FROM o JOIN n p ON o.a = p.doc_id JOIN n q ON o.b = q.doc_id WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+), e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k
+), r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3(), "op5_topk": OP5, "op8_ngram_join": OP8, "op10_line_dedup": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, licenses, line_dedup, mixing, pii, quality, secrets, topk, toxicity
+from docengine.llm import bpe, licenses, line_dedup, mixing, ngram_join, pii, quality, secrets, topk, toxicity
 from docengine.llm.common import documents, table
 from docengine.llm.oracles import ORACLES
 
@@ -56,6 +56,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.classes(documents(spark, sf_dir))
+    return found.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(documents(spark, sf_dir), keep=["doc_id"]))
 
