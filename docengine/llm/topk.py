@@ -30,7 +30,7 @@ from docengine.llm.common import materialize, small_batches
 PIVOTS, SCALE = 32, 64
 #: Rows in a block of queries and of candidates: at least, and at most.
 QUERY_BLOCK, CANDIDATE_BLOCK = (1024, 16_384), (4096, 65_536)
-#: Candidates that are scored before the bound is looked at again.
+#: Candidates that are scored before the bounds are looked at again.
 STEP = 128
 
 _BEST = "query_id long, id long, score long"
@@ -62,29 +62,71 @@ def _prepared(table: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products, exact however large the components."""
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(len(q), 1) < 2.0**53:
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(len(q), 1)
+    if most < (2.0**24 if x.dtype == np.float32 else 2.0**53):
         return (x @ q).astype(np.int64)
     exact = [sum(int(a) * int(b) for a, b in zip(r, q)) for r in x]
     return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], np.int64)
 
 
-def best(ids: np.ndarray, x: np.ndarray, norms: np.ndarray, near: np.ndarray, own: int, q: np.ndarray, norm: float, to: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and scores of the k best of one query, and how many candidates were scored."""
-    low = np.abs(near - to).max(1, initial=0.0)
-    bound = (norms + norm - low * low) / 2
-    bound += 1e-9 * (norms + norm) + 1e-6
-    bound[ids == own] = -np.inf
-    order = np.argsort(-bound, kind="stable")
-    order = order[: len(order) - int((ids == own).sum())]
-    have_ids, have = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, step = 0, STEP
-    while at < len(order) and (len(have) < k or bound[order[at]] >= have[-1]):
-        part = order[at : at + step]
-        have_ids, have = np.r_[have_ids, ids[part]], np.r_[have, scores(x[part], q)]
-        first = np.lexsort((have_ids, -have))[:k]
-        have_ids, have = have_ids[first], have[first]
-        at, step = at + step, step * 2
-    return have_ids, have, min(at, len(order))
+class Candidates:
+    """A block of candidates: vectors, squared lengths, and the pivot table with one row per pivot.
+
+    Vectors are held in single precision where that is exact for every product with the block's queries. The pivot table
+    is in single precision; the slack of the bounds is above its rounding errors.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, near: np.ndarray, widest: float):
+        exact = max(float(np.abs(x).max(initial=0)), 1.0) * max(widest, 1.0) * max(x.shape[1], 1) < 2.0**24
+        self.ids, self.norms, self.exact = ids, norms, exact
+        self.x = x.astype(np.float32) if exact else x
+        self.table = np.ascontiguousarray(near.T, np.float32)
+        self.length = float(norms.max(initial=0.0)) ** 0.5
+        self.farthest = float(near.max(initial=0.0))
+
+    def bounds(self, norm: float, to: np.ndarray) -> np.ndarray:
+        """No inner product with a query of that squared length and those distances to the pivots is above its bound."""
+        low, one = np.zeros(len(self.ids), np.float32), np.empty(len(self.ids), np.float32)
+        for row, d in zip(self.table, to.astype(np.float32)):
+            np.subtract(row, d, out=one)
+            np.abs(one, out=one)
+            np.maximum(low, one, out=low)
+        bound = (self.norms + norm - low.astype(np.float64) ** 2) * 0.5
+        length = self.length + norm**0.5
+        return bound + (1e-6 * max(self.farthest, float(to.max(initial=0.0))) * length + 1e-9 * length * length + 1e-6)
+
+    def best(self, own: int, q: np.ndarray, norm: float, to: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k best for one query, and how many candidates were scored.
+
+        The candidates with the highest bounds are scored first, STEP and then eight times as many at a time; those whose
+        bound lies below the k-th best score so far are out for good.
+        """
+        bound, q = self.bounds(norm, to), q.astype(self.x.dtype)
+        left = np.flatnonzero(self.ids != own)
+        have_ids, have = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        step, seen = STEP, 0
+        while len(left):
+            if len(left) > step:
+                order = np.argpartition(-bound[left], step)
+                part, left = left[order[:step]], left[order[step:]]
+            else:
+                part, left = left, left[:0]
+            seen += len(part)
+            x = self.x.take(part, axis=0)
+            score = (x @ q).astype(np.int64) if self.exact else scores(x, q)
+            if len(have) == k:
+                good = score >= have[-1]
+                part, score = part[good], score[good]
+            elif len(score) > k:
+                good = score >= np.partition(score, len(score) - k)[len(score) - k]
+                part, score = part[good], score[good]
+            have_ids, have = np.r_[have_ids, self.ids[part]], np.r_[have, score]
+            first = np.lexsort((have_ids, -have))[:k]
+            have_ids, have = have_ids[first], have[first]
+            if len(have) == k:
+                left = left[bound[left] >= have[-1]]
+            step *= 8
+        return have_ids, have, seen
 
 
 def _cell(k: int):
@@ -98,9 +140,9 @@ def _cell(k: int):
 
         x, near, norms = packed("vector"), packed("pivots"), np.array(table.column("norm").to_pylist(), np.float64)
         there, out = ~is_query, ([], [], [])
-        c = (ids[there], x[there], norms[there], near[there])
+        block = Candidates(ids[there], x[there], norms[there], near[there], float(np.abs(x[is_query]).max(initial=0)))
         for i in np.flatnonzero(is_query):
-            got, score, _ = best(*c, ids[i], x[i], norms[i], near[i], k)
+            got, score, _ = block.best(ids[i], x[i], norms[i], near[i], k)
             out[0].append(np.full(len(got), ids[i]))
             out[1].append(got)
             out[2].append(score)

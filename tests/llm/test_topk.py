@@ -56,12 +56,22 @@ def test_bounds_stop_the_search():
     pivots = x[:32]
     near = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(-1))
     ids, norms = np.arange(8000), (x * x).sum(1)
-    got, score, seen = topk.best(ids, x, norms, near, 5, x[5], norms[5], near[5], 10)
+    got, score, seen = topk.Candidates(ids, x, norms, near, np.abs(x).max()).best(5, x[5], norms[5], near[5], 10)
     exact = np.lexsort((ids, -(x @ x[5])))
     assert list(got) == [i for i in exact if i != 5][:10]
     assert seen < 8000
 
 
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    for scale in (1, 40, 10_000):
+        x = np.floor(rng.normal(size=(500, 8)) * scale)
+        near = np.sqrt(((x[:, None] - x[None, :32]) ** 2).sum(-1))
+        block = topk.Candidates(np.arange(500), x, (x * x).sum(1), near, np.abs(x).max())
+        for i in range(0, 500, 7):
+            assert (block.bounds((x[i] * x[i]).sum(), near[i]) >= x @ x[i]).all()
+
+
 def test_large_components_are_exact():
     x = np.array([[2.0**30, 3.0], [2.0**30, 1.0]])
     assert list(topk.scores(x, np.array([2.0**30, 1.0]))) == [2**60 + 3, 2**60 + 1]
