@@ -3,8 +3,8 @@
 Fitting takes a sample of the labelled rows of at most FIT_ROWS per class in expectation (every row whose hash lies
 below the share that this allows), counts in how many sampled documents of each class each word and each word beginning
 occurs, and keeps the TERMS terms that speak most for the toxic class (chi-square of at least MIN_CHI, in MIN_DOCS
-documents or more). The sample's TF-IDF vectors over those terms go into an inverted index whose postings are grouped by
-blocks of BLOCK examples, each term with its largest weight per block. A document's nearest examples by exact cosine are
+documents or more, and LIFT times as frequent in toxic documents as in others). The TF-IDF vectors of the sample's first EXAMPLES per class, by the same hash, go into an inverted
+index whose postings are grouped by blocks of BLOCK examples, each term with its largest weight per block. A document's nearest examples by exact cosine are
 found block by block: the sum of the largest weights bounds every cosine in a block, blocks are taken in order of that
 bound, and the search stops when the bound falls below the K-th best cosine. The neighbours vote with weights that fall
 with distance, scaled back to the classes' true sizes; the votes are mapped to probabilities that were measured by
@@ -13,7 +13,7 @@ leaving each sampled example out of its own neighbourhood. The neighbours are re
 Documents without any of the terms, null and empty texts among them, get the toxic share of such documents in the
 sample. Texts are taken whole. Rows stand alone; ties among neighbours go to the example that comes first. Labels with a
 null, and labels without documents, are left out of the fit. Without usable labels every score is 0. The index is bounded
-by FIT_ROWS and TERMS, whatever the corpus; it goes to every worker.
+by EXAMPLES and TERMS, whatever the corpus; it goes to every worker.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import small_batches
 
-FIT_ROWS, TERMS, MIN_DOCS, MIN_CHI = 6000, 20_000, 4, 30.0
+FIT_ROWS, EXAMPLES, TERMS, MIN_DOCS, MIN_CHI, LIFT = 6000, 1500, 20_000, 4, 30.0, 4
 #: Lengths of word beginnings that are terms.
 PREFIXES = (4, 5, 6, 7, 8)
 K, BLOCK, BINS, THRESHOLD = 25, 64, 12, 0.3
@@ -105,7 +105,10 @@ class Index:
                     for e, w in zip(part[1], part[2]):
                         cos[e] = cos.get(e, 0.0) + q * w
             cos.pop(without, None)
-            best = sorted([*best, *((-c, e) for e, c in cos.items())])[:k]
+            last = best[-1] if len(best) == k else (1.0, 0)
+            better = [(-c, e) for e, c in cos.items() if (-c, e) < last]
+            if better:
+                best = sorted([*best, *better])[:k]
         return [(min(-c, 1.0), e) for c, e in best]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -143,18 +146,20 @@ class Index:
         return min(max(self.probability(self.vote(near)), 0.0), 1.0), near
 
 
-def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> tuple[DataFrame, dict[int, float]]:
-    """Key, text and label of the sample, and how many labelled rows of each class one sampled row stands for."""
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, examples: int) -> tuple[DataFrame, dict[int, float]]:
+    """Key, text, label of the sample and whether a row is an example, and how many labelled rows of each class one example stands for."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     share = {y: min(1.0, rows / n) for y, n in counts.items() if n}
     unit = F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = F.lit(False)
+    shown = {y: min(1.0, examples / counts[y]) for y in share}
+    taken = example = F.lit(False)
     for y, s in share.items():
         taken = taken | ((F.col("_label") == y) & (unit < s))
+        example = example | ((F.col("_label") == y) & (unit < shown[y]))
     # rows of the sample, of which there are 2 * FIT_ROWS in expectation: small enough to be sent to every executor
-    few = F.broadcast(usable.where(taken))
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(few, "_key"), {y: 1 / s for y, s in share.items()}
+    few = F.broadcast(usable.where(taken).withColumn("_example", example))
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(few, "_key"), {y: 1 / s for y, s in shown.items()}
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -171,10 +176,10 @@ def _counted(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Index | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, examples: int = EXAMPLES) -> Index | None:
     """The index of a bounded sample of the labelled rows; None if there are none."""
     small_batches(docs.sparkSession)
-    sample, stands = _sample(docs, labels, key, text, label, rows)
+    sample, stands = _sample(docs, labels, key, text, label, rows, min(rows, examples))
     if not stands:
         return None
     sizes = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
@@ -185,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     c, d = toxic - a, clean - b
     chi = (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0))
     told = _counted(sample).where((F.col("toxic") + F.col("clean")) >= MIN_DOCS).withColumn("chi", chi)
-    told = told.where((F.col("chi") >= MIN_CHI) & (a * clean > b * toxic)).orderBy(F.col("chi").desc(), "term").limit(TERMS)
+    told = told.where((F.col("chi") >= MIN_CHI) & (a * clean >= b * toxic * LIFT)).orderBy(F.col("chi").desc(), "term").limit(TERMS)
     total = sum(sizes.values())
     terms = {r.term: math.log((total + 1) / (r.toxic + r.clean + 1)) + 1 for r in told.collect()}  # at most TERMS rows
 
@@ -198,15 +203,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = [index.vector(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], ["key", "label", "terms", "weights"])
 
-    found = sample.mapInArrow(vectors, "key long, label int, terms array<int>, weights array<double>").collect()  # the bounded sample
+    found = sample.where("_example").mapInArrow(vectors, "key long, label int, terms array<int>, weights array<double>").collect()  # the bounded sample
     found.sort(key=lambda r: (r.key, r.label))
     silent = Counter(r.label for r in found if not r.terms)
     weigh = sum(n * stands[y] for y, n in silent.items())
     empty = silent[1] * stands.get(1, 0.0) / weigh if weigh else 0.0
     # examples with the same strongest terms share blocks, so that block maxima are tight
-    examples = sorted(((dict(zip(r.terms, r.weights)), r.label, r.key) for r in found if r.terms), key=lambda e: (max(e[0], key=lambda t: (e[0][t], -t)), e[2]))
-    index = Index(terms, examples, stands, empty)
-    index.calibrate(examples)
+    shown = sorted(((dict(zip(r.terms, r.weights)), r.label, r.key) for r in found if r.terms), key=lambda e: (max(e[0], key=lambda t: (e[0][t], -t)), e[2]))
+    index = Index(terms, shown, stands, empty)
+    index.calibrate(shown)
     return index
 
 
