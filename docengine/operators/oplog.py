@@ -68,16 +68,16 @@ def level_of(name: Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
-def compaction_plan(files: DataFrame) -> DataFrame:
+def compaction_plan(files: DataFrame, level_0_files: int = LEVEL_0_FILES, base_mb: int = BASE_MB, multiplier: int = MULTIPLIER) -> DataFrame:
     """files (name, size) with level, pick and to_level: what the next compaction reads, and the level that it writes.
 
-    All of level 0 if it has LEVEL_0_FILES files or more; else, of the lowest level above its size, the first file, and
+    All of level 0 if it has level_0_files files or more; else, of the lowest level above its size, the first file, and
     with it all files of the next level.
     """
     placed = files.withColumn("level", level_of(F.col("name"))).where("level is not null")
     levels = placed.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("size") / (1 << 20))).alias("mb"), F.min("name").alias("first"))
-    most = F.lit(BASE_MB) * F.pow(F.lit(MULTIPLIER), F.col("level") - 1)
-    due = ((F.col("level") == 0) & (F.col("n") >= LEVEL_0_FILES)) | ((F.col("level") > 0) & (F.col("mb") > most))
+    most = F.lit(base_mb) * F.pow(F.lit(multiplier), F.col("level") - 1)
+    due = ((F.col("level") == 0) & (F.col("n") >= level_0_files)) | ((F.col("level") > 0) & (F.col("mb") > most))
     chosen = levels.where(due).groupBy().agg(F.min(F.struct("level", "first")).alias("c")).where("c is not null").select(F.col("c.level").alias("from_level"), F.col("c.first").alias("first"))
     joined = placed.join(F.broadcast(chosen), F.lit(True))  # one row
     own = F.col("level") == F.col("from_level")

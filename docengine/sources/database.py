@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import keys, versions
-from docengine.operators import oplog, query
+from docengine.operators import oplog, query, replicas
 from docengine.operators.query import LIMIT, OFFSET
 from docengine.operators.ring import Ring
 
@@ -68,27 +68,35 @@ class Database:
         vector = versions.increment(F.col("_old"), F.lit(self.node))
         return joined.select("id", F.lit(collection).alias("collection"), "data", vector.alias("version_vector"), F.lit(float(timestamp)).alias("timestamp"))
 
-    def _quorum(self, w: int) -> None:
+    def _quorum(self, docs: DataFrame, w: int) -> None:
+        """Raises if a document's live replicas are fewer than w; nothing has been written then."""
         versions.check_quorum(w, max(self.ring.replication, 1))
-        reachable = len([n for n in self.ring.nodes if n in self.live])
-        if min(self.ring.replication, reachable) < w and len(self.ring.nodes) - reachable > self.ring.replication - w:
-            raise RuntimeError(f"no write quorum: {reachable} nodes of {len(self.ring.nodes)} are live, {w} acknowledgements are asked for")
+        if len(self.ring.nodes) < w or set(self.ring.nodes) - set(self.live):
+            short = replicas.write(self.ring, docs.select("id"), "id", self.live, w).where(~F.col("success"))
+            if short.limit(1).count():
+                raise RuntimeError(f"no write quorum: some documents have fewer than {w} live replicas")
 
     def put(self, collection: str, docs: DataFrame, w: int = 1, timestamp: float | None = None) -> None:
         """Replaces whole documents; docs has id (string) and data (VARIANT, or JSON text)."""
         keys.check_collection(collection)
-        self._quorum(w)
         if docs.schema["data"].dataType.typeName() == "string":
             docs = docs.withColumn("data", F.parse_json("data"))
-        batch = self._next(collection, docs.select(F.col("id").cast("string").alias("id"), "data"), time.time() if timestamp is None else timestamp)
+        docs = docs.select(F.col("id").cast("string").alias("id"), "data")
+        self._quorum(docs, w)
+        batch = self._next(collection, docs, time.time() if timestamp is None else timestamp)
         self._append(collection, oplog.operations(batch, oplog.PUT, F.lit(time.time_ns())))
 
-    def get(self, collection: str, doc_id: str) -> DataFrame:
-        """The document, as no or one row."""
+    def get(self, collection: str, doc_id: str, r: int = 1) -> DataFrame:
+        """The document, as no or one row; r live replicas must be there to answer."""
+        versions.check_quorum(r, max(self.ring.replication, 1))
+        owners = self.ring.replicas_of(doc_id)
+        there = len([n for n in owners if n in self.live])
+        if there < r:
+            raise RuntimeError(f"no read quorum: {there} of {len(owners)} replicas are live, {r} answers are asked for")
         return oplog.replay(self.log(collection).where(F.col("id") == doc_id)).select("id", "collection", "data", "version_vector", "timestamp")
 
-    def one(self, collection: str, doc_id: str):
-        found = self.get(collection, doc_id).withColumn("data", F.to_json("data")).first()
+    def one(self, collection: str, doc_id: str, r: int = 1):
+        found = self.get(collection, doc_id, r).withColumn("data", F.to_json("data")).first()
         if found is None:
             raise NotFound(f"{collection}:{doc_id}")
         return found

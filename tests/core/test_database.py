@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docengine.operators.ring import Ring
 from docengine.sources import tables
 from docengine.sources.database import Database, NotFound
+from docengine.sources.settings import Settings
 
 
 @pytest.fixture
@@ -100,7 +101,18 @@ def test_quorum(spark, tmp_path):
     with pytest.raises(ValueError):
         down.put("c", docs(spark, x={}), w=4)
     down.put("c", docs(spark, x={}), w=1)
-    assert down.current("c").count() == 1
+    assert down.current("c").count() == 1 and down.get("c", "x", r=1).count() == 1
+    with pytest.raises(RuntimeError):
+        down.get("c", "x", r=2)
+
+
+def test_settings():
+    config = {"replication_factor": 2, "nodes": {"node1": {"host": "localhost", "port": 8081}, "node2": {"port": 8082}, "node3": {"port": 8083}}}
+    ring = Settings.of(config).ring("node1")
+    assert ring.replication == 2 and ring.address("node2") == "http://localhost:8082" and len(ring.replicas_of("k")) == 2
+    for bad in ({"w": 1}, {"replication_factor": 1}, {"query_limit": -1}, {"read_quorum": 4}):
+        with pytest.raises(ValueError):
+            Settings.of(bad)
 
 
 def test_json_lines(spark, tmp_path):
