@@ -6,21 +6,23 @@ node; the rest of the work is on nodes. Two nodes link when their sets' Jaccard
 1. One pass over the texts gives each document's set size and the set's hash, and corpus-wide counts of the frequent
    shingles. The global shingle order is: the most frequent ones (at most HEAVY, by count) last, all others before them by
    hash. The order only steers the work; any order gives the same links.
-2. By that order, nodes that link share a shingle in their prefixes (a seventh of the smaller set, a quarter of the
-   larger one). A second pass cuts the order into fragments by ranges of hashes and sends each prefix entry, packed with
-   others, to its fragment. There, nodes that meet at a shingle become a candidate if their sizes and their positions in
-   the order leave room for the overlap that is needed. A meeting of more than ALL_PAIRS nodes is not expanded: each
-   member is paired with the first few by a fixed order of nodes, and the meeting itself is kept.
+2. By that order, nodes that link share much of their prefixes (the first quarter of a set). A second pass cuts the order
+   into fragments by ranges of hashes and sends each prefix entry, packed with others, to its fragment. Each fragment
+   counts, for the pairs that meet in it, how many prefix shingles they share; the counts are summed per pair. What lies
+   beyond the prefixes adds a known amount at most, so the sum tells which pairs can link at all. A meeting of more than
+   ALL_PAIRS nodes is not expanded: each member is paired with the first CENTRES of a fixed order, and the meeting is kept
+   for step 4, which makes up for the counts that are missing so.
 3. Candidates are verified vertically: the sets of their nodes are cut into ranges of hashes, each range counts partial
-   overlaps by itself, and the counts are summed per pair.
-4. Components of the verified links are found by exchanging the smallest label. In each kept meeting, members that now
-   share a component need nothing more; all pairs of members in different components are verified in the same way, so no
-   link that would join two components is lost.
-
-Documents with no words (null and empty texts) have no set and link with nothing; fewer words than SHINGLE make one
-shingle. Rows with a null id take part without lending their id. Repeated rows are copies of each other. Texts are taken
-whole; additional columns travel along. An empty table gives an empty table. Sets are compared by hashes of 64 bits, so two
-different shingles of a pair are taken for equal once in some 10^13 pairs of documents of a thousand words.
+   overlaps by itself, and the counts are summed per pair. Of the links, a spanning forest per bucket of pairs goes on.
+4. Components of the links are found by exchanging the smallest label. In each kept meeting, members that now share a
+   component need nothing more; members of different components are counted pair by pair and verified in the same way, so
+   no link that would join two components is lost.
+
+Pairs travel packed, many to a row. Documents with no words (null and empty texts) have no set and link with nothing;
+fewer words than SHINGLE make one shingle. Rows with a null id take part without lending their id. Repeated rows are
+copies of each other. Texts are taken whole; additional columns travel along. An empty table gives an empty table. Sets
+are compared by hashes of 64 bits, so two different shingles of a pair are taken for equal once in some 10^13 pairs of
+documents of a thousand words.
 """
 
 from __future__ import annotations
@@ -41,10 +43,12 @@ SHINGLE, NUMERATOR = 5, 75
 HEAVY, LOCAL = 1 << 18, 8
 #: Shingles that a task holds before it counts them, and prefix entries before it sends them on.
 HELD, PACKED = 1 << 21, 1 << 19
-#: Entries that a fragment gets on average, and bytes of sets that a range of the verification gets.
-FRAGMENT_ENTRIES, RANGE_BYTES = 300_000, 24 << 20
+#: Entries, and members of kept meetings, that a fragment gets on average; bytes of all sets for each range and bucket.
+FRAGMENT_ENTRIES, FRAGMENT_MEMBERS, CELL_BYTES = 300_000, 50_000, 48 << 20
+#: Into how many ranges and buckets at least.
+RANGES, BUCKETS = 8, 2
 #: Meetings of more nodes are not expanded to all pairs at first; each member meets so many of them.
-ALL_PAIRS, CENTRES = 48, 2
+ALL_PAIRS, CENTRES = 64, 4
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 #: So many node hashes of 8 bytes may be broadcast, after they are counted.
@@ -53,6 +57,8 @@ BROADCAST_NODES = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 ENTRY = np.dtype([("hash", "<u8"), ("node", "<u8"), ("size", "<u4"), ("rank", "<u4")])
+#: A pair's owner comes first in the order of _first(); crossed pairs are those of step 4.
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8"), ("size_a", "<u4"), ("size_b", "<u4"), ("count", "<u4"), ("crossed", "<u4")])
 
 
 class WordHashes(dict):
@@ -108,9 +114,9 @@ def prefix(n: int) -> int:
     return n - (-(-NUMERATOR * n // 100)) + 1
 
 
-def short_prefix(n):
-    """The same for partners that are as large or larger."""
-    return n - needed(n, n) + 1
+def _first(nodes: np.ndarray) -> np.ndarray:
+    """A fixed order of nodes that has nothing to do with their sets."""
+    return _mixed(nodes.copy())
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -205,119 +211,261 @@ def _prefixes(docs: DataFrame, heavy, bits: int) -> DataFrame:
 
 def room(size_a, rank_a, size_b, rank_b):
     """Whether sets that share the shingle at these places of theirs can share as many as they need."""
-    most = np.minimum(rank_a, rank_b) + 1 + np.minimum(size_a - rank_a, size_b - rank_b) - 1
-    return most >= needed(size_a, size_b)
+    return np.minimum(rank_a, rank_b) + np.minimum(size_a - rank_a, size_b - rank_b) >= needed(size_a, size_b)
 
 
-def _met(rows: np.ndarray, all_pairs: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From one fragment's entries: candidates (places of the smaller and larger node), and places of kept meetings."""
-    size, rank = rows["size"].astype(np.int64), rows["rank"].astype(np.int64)
+def _pairs(a, b, size_a, size_b, crossed: bool = False) -> np.ndarray:
+    """Counted pairs, owners first, of nodes whose sizes allow a link."""
+    fine = (a != b) & (NUMERATOR * np.maximum(size_a, size_b) <= 100 * np.minimum(size_a, size_b))
+    out = np.empty(int(fine.sum()), PAIR)
+    a, b, size_a, size_b = a[fine], b[fine], size_a[fine], size_b[fine]
+    swap = _first(a) > _first(b)
+    out["a"], out["b"] = np.where(swap, b, a), np.where(swap, a, b)
+    out["size_a"], out["size_b"] = np.where(swap, size_b, size_a), np.where(swap, size_a, size_b)
+    out["count"], out["crossed"] = 1, crossed
+    return out
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """One entry per pair, with the sum of its counts; crossed if any of its entries is."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    starts = np.flatnonzero(np.r_[True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])])
+    out = pairs[starts].copy()
+    out["count"] = np.add.reduceat(pairs["count"], starts)
+    out["crossed"] = np.maximum.reduceat(pairs["crossed"], starts)
+    return out
+
+
+def _prefixes_of(sizes: np.ndarray) -> np.ndarray:
+    n = sizes.astype(np.int64)
+    return n - -(-NUMERATOR * n // 100) + 1
+
+
+def possible(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether pairs that share so many prefix shingles can link.
+
+    Of two prefixes one ends first in the order; shared shingles that were not counted lie beyond that end, in the rest of
+    that set.
+    """
+    a, b = pairs["size_a"].astype(np.int64), pairs["size_b"].astype(np.int64)
+    return counts.astype(np.int64) + np.maximum(a - _prefixes_of(a), b - _prefixes_of(b)) >= needed(a, b)
+
+
+def _met(rows: np.ndarray, all_pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """From one fragment's entries: its pairs with their counts, and places of the members of kept meetings."""
+    node, size, rank = rows["node"], rows["size"].astype(np.int64), rows["rank"].astype(np.int64)
     starts = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]) if len(rows) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[starts, len(rows)])
     few = np.flatnonzero((counts > 1) & (counts <= all_pairs))
-    left, right, kept = [], [], []
+    found, kept = [np.zeros(0, PAIR)], [np.zeros(0, np.int64)]
     for n in np.unique(counts[few]):
         i, j = np.triu_indices(n, 1)
-        base = starts[few[counts[few] == n]][:, None]
-        left.append((base + i).ravel())
-        right.append((base + j).ravel())
+        groups = starts[few[counts[few] == n]][:, None]
+        for part in np.array_split(groups, max(1, len(groups) * len(i) // 1_000_000)):
+            a, b = (part + i).ravel(), (part + j).ravel()
+            fine = room(size[a], rank[a], size[b], rank[b])
+            found.append(_pairs(node[a[fine]], node[b[fine]], size[a[fine]], size[b[fine]]))
+        if sum(map(len, found)) > 4_000_000:
+            found = [_summed(np.concatenate(found))]
     for g in np.flatnonzero(counts > all_pairs):
         at = np.arange(starts[g], starts[g] + counts[g])
-        centres = at[np.argsort(_mixed(rows["node"][at].copy()), kind="stable")[:CENTRES]]
-        for c in centres:
-            left.append(np.full(len(at), c))
-            right.append(at)
+        for c in at[np.argsort(_first(node[at]), kind="stable")[:CENTRES]]:
+            found.append(_pairs(np.full(len(at), node[c]), node[at], np.full(len(at), size[c]), size[at]))
         kept.append(at)
-    none = np.zeros(0, np.int64)
-    a, b = (np.concatenate(x).astype(np.int64) if x else none for x in (left, right))
-    swap = (size[a] > size[b]) | ((size[a] == size[b]) & (rows["node"][a] > rows["node"][b]))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    fine = (rows["node"][a] != rows["node"][b]) & (NUMERATOR * size[b] <= 100 * size[a]) & (rank[a] < short_prefix(size[a])) & room(size[a], rank[a], size[b], rank[b])
-    return a[fine], b[fine], np.concatenate(kept) if kept else none
+    return _summed(np.concatenate(found)), np.concatenate(kept)
+
 
+def _bucketed(pairs: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    bucket = (_first(pairs["a"]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    pairs, bucket = pairs[order], bucket[order]
+    keys, starts = np.unique(bucket, return_index=True)
+    return keys.tolist(), [pairs[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(pairs)])]
 
-def _meetings(prefixes: DataFrame, all_pairs: int) -> DataFrame:
-    """Candidates (a, size_a, b, size_b), and members (hash, a, size_a, rank) of the meetings that were not expanded."""
-    names = ["hash", "a", "size_a", "rank", "b", "size_b"]
+
+def _meetings(prefixes: DataFrame, all_pairs: int, buckets: int) -> DataFrame:
+    """Packed pairs (bucket, pairs), and members (hash, node, size) of the meetings that were not expanded."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
-        rows = _sorted(rows)
-        a, b, kept = _met(rows, all_pairs)
-        pairs = np.unique(np.stack([rows["node"][a], rows["node"][b], rows["size"][a].astype(np.uint64), rows["size"][b].astype(np.uint64)], 1), axis=0) if len(a) else np.zeros((0, 4), np.uint64)
-        size = rows["size"].astype(np.int64)
-        none = [pa.nulls(len(pairs), pa.int64()), pa.nulls(len(kept), pa.int64())]
-        first = [none[0], pa.array(_signed(pairs[:, 0].copy())), pa.array(pairs[:, 2].astype(np.int64)), none[0], pa.array(_signed(pairs[:, 1].copy())), pa.array(pairs[:, 3].astype(np.int64))]
-        second = [pa.array(_signed(rows["hash"][kept].copy())), pa.array(_signed(rows["node"][kept].copy())), pa.array(size[kept]), pa.array(rows["rank"][kept].astype(np.int64)), none[1], none[1]]
-        return pa.table([pa.chunked_array([x, y]) for x, y in zip(first, second)], names)
+        rows = _sorted(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY))
+        pairs, kept = _met(rows, all_pairs)
+        keys, blobs = _bucketed(pairs, buckets)
+        n, m = len(keys), len(kept)
+        none = pa.nulls(n, pa.int64())
+        first = [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), none, none, none]
+        members = [_signed(rows["hash"][kept].copy()), _signed(rows["node"][kept].copy()), rows["size"][kept].astype(np.int64)]
+        second = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, members)]
+        return pa.table([pa.chunked_array([x, y]) for x, y in zip(first, second)], ["bucket", "pairs", "hash", "node", "size"])
+
+    return prefixes.groupBy("fragment").applyInArrow(run, "bucket int, pairs binary, hash long, node long, size long")
 
-    return prefixes.groupBy("fragment").applyInArrow(run, ", ".join(f"{n} long" for n in names))
+
+def _crossed(members: np.ndarray, labels: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Counted pairs of members of one meeting and different components, a few members at a time.
+
+    members, labels, hashes, sizes: sorted by hash. In each meeting the largest component's members need not be compared
+    with each other; all others take their turn against the whole meeting.
+    """
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(hashes)] if len(hashes) else starts
+    main = np.zeros(len(hashes), bool)
+    turns: dict[int, list[tuple[int, int, int]]] = {}
+    for x, y in zip(starts.tolist(), ends.tolist()):
+        names, counts = np.unique(labels[x:y], return_counts=True)
+        if len(names) == 1:
+            continue
+        main[x:y] = labels[x:y] == names[np.argmax(counts)]
+        for i in (x + np.flatnonzero(~main[x:y])).tolist():
+            turns.setdefault(int(members[i]), []).append((i, x, y))
+    held, total = [], 0
+    for places in turns.values():
+        at = np.concatenate([np.arange(x, y) for _, x, y in places])
+        own = np.repeat([i for i, _, _ in places], [y - x for _, x, y in places])
+        # of two that both take their turn here, the smaller counts the pair
+        fine = (labels[at] != labels[own]) & (main[at] | (members[own] < members[at]))
+        at, own = at[fine], own[fine]
+        held.append(_summed(_pairs(members[own], members[at], sizes[own], sizes[at], crossed=True)))
+        total += len(held[-1])
+        if total > 500_000:
+            yield np.concatenate(held)
+            held, total = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _unmet(members: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
+    """Packed pairs (bucket, pairs) of members of kept meetings that are in different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, nodes, sizes, labels = (table.column(c).to_numpy() for c in ("hash", "node", "size", "label"))
+        order = np.argsort(hashes, kind="stable")
+        keys, blobs = [], []
+        for pairs in _crossed(nodes[order].view(np.uint64), labels[order], hashes[order], sizes[order]):
+            k, x = _bucketed(_summed(pairs), buckets)
+            keys, blobs = keys + k, blobs + x
+        return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
+
+    placed = members.join(state.select("node", F.col("label.node").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = placed.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("hash")
+    fragments = max(1, math.ceil(members.count() / FRAGMENT_MEMBERS))
+    fragment = F.pmod(F.xxhash64("hash"), F.lit(fragments)).alias("fragment")
+    return placed.join(split, "hash", "left_semi").select(fragment, "hash", "node", "size", "label").groupBy("fragment").applyInArrow(run, "bucket int, pairs binary")
+
+
+def _candidates(packed: DataFrame, crossed: bool) -> DataFrame:
+    """Per bucket: the packed pairs whose summed counts allow a link, and the nodes that they need.
+
+    crossed: only pairs of different components that the first time did not verify.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        every = np.frombuffer(b"".join(table.column("pairs").to_pylist()), PAIR)
+        pairs = _summed(every)
+        fine = possible(pairs, pairs["count"])
+        if crossed and len(pairs):
+            before = every[every["crossed"] == 0]
+            once = np.zeros(len(pairs), np.int64)
+            if len(before):
+                before = _summed(before)
+                both = np.concatenate([pairs[["a", "b"]], before[["a", "b"]]])
+                order = np.lexsort((both["b"], both["a"]))
+                same = np.flatnonzero((both["a"][order][1:] == both["a"][order][:-1]) & (both["b"][order][1:] == both["b"][order][:-1]))
+                one, two = np.minimum(order[same], order[same + 1]), np.maximum(order[same], order[same + 1]) - len(pairs)
+                once[one] = before["count"][two]
+            fine &= (pairs["crossed"] > 0) & ~possible(pairs, once)
+        pairs = pairs[fine]
+        nodes = _signed(np.unique(np.concatenate([pairs["a"], pairs["b"]])))
+        n = len(nodes)
+        first = [pa.array([bucket] * (n + 1), pa.int32()), pa.array([pairs.tobytes()] + [None] * n, pa.binary()), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(nodes)])]
+        return pa.table(first, ["bucket", "pairs", "node"])
+
+    return packed.groupBy("bucket").applyInArrow(run, "bucket int, pairs binary, node long")
 
 
 def _parts(docs: DataFrame, ranges: int) -> DataFrame:
-    """Per node and range of hashes: the part of the node's set, packed."""
+    """Per node, range of hashes and bucket (cell) that asks for it: the part of the node's set, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
         for b in batches:
-            nodes, places, parts = [], [], []
-            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for node, text, cells in zip(*(b.column(i).to_pylist() for i in range(3))):
                 found = shingles(text)
                 cuts = [0, *np.searchsorted(found, edges).tolist(), len(found)]
                 for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
                     if y > x:
-                        nodes.append(node)
-                        places.append(i)
-                        parts.append(found[x:y].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], ["node", "range", "part"])
-
-    return docs.mapInArrow(run, "node long, range int, part binary")
-
-
-def _overlaps(pairs: pa.Table, parts: pa.Table) -> pa.Table:
-    """Partial overlaps of the pairs within one range and bucket."""
-    sets = {n: np.frombuffer(p, np.uint64) for n, p in zip(parts.column("node").to_pylist(), parts.column("part").to_pylist())}
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    shared = np.zeros(len(a), np.int64)
-    order = np.argsort(a, kind="stable")
-    starts = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]]) if len(a) else []
-    for s, e in zip(starts, [*starts[1:], len(a)]):
-        own = sets.get(int(a[order[s]]))
+                        part = found[x:y].tobytes()
+                        for cell in cells:
+                            for column, value in zip(out, (node, i, cell, part)):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["node", "range", "cell", "part"])
+
+    return docs.mapInArrow(run, "node long, range int, cell int, part binary")
+
+
+def _overlaps(asked: pa.Table, parts: pa.Table) -> pa.Table:
+    """Partial overlaps of a bucket's pairs within one range, in the pairs' order."""
+    if not asked.num_rows:
+        return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "shared"])
+    pairs = np.frombuffer(asked.column("pairs")[0].as_py(), PAIR)
+    sets = {n: np.frombuffer(p, np.uint64) for n, p in zip(parts.column("node").to_numpy().view(np.uint64).tolist(), parts.column("part").to_pylist())}
+    a, b = pairs["a"], pairs["b"].tolist()
+    shared = np.zeros(len(pairs), np.uint32)
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+        own = sets.get(int(a[s]))
         if own is None:
             continue
-        at = [i for i in order[s:e] if int(b[i]) in sets]
-        if not at:
-            continue
-        others = [sets[int(b[i])] for i in at]
-        every = np.concatenate(others)
-        hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-        shared[at] = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
-    some = shared > 0
-    return pa.table([pa.array(a[some]), pa.array(b[some]), pa.array(shared[some])], ["a", "b", "shared"])
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, size_a, b, size_b) whose sets are similar enough, as a, b.
-
-    docs: doc, same, text; nodes: node, doc, same of one document per node.
+        for x in range(s, e, 512):
+            at = [i for i in range(x, min(x + 512, e)) if b[i] in sets]
+            if at:
+                others = [sets[b[i]] for i in at]
+                every = np.concatenate(others)
+                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                shared[at] = np.add.reduceat(hit.astype(np.uint32), np.cumsum([0, *map(len, others[:-1])]))
+    return pa.table([asked.column("bucket").slice(0, 1).cast(pa.int32()), pa.array([shared.tobytes()], pa.binary())], ["bucket", "shared"])
+
+
+def _forest(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """A spanning forest of a bucket's links: the overlaps of all ranges, summed, against what the sizes need."""
+    pairs = np.frombuffer(b"".join(asked.column("pairs").to_pylist()), PAIR)
+    shared = np.zeros(len(pairs), np.int64)
+    for blob in counted.column("shared").to_pylist():
+        shared += np.frombuffer(blob, np.uint32)
+    links = pairs[shared >= needed(pairs["size_a"].astype(np.int64), pairs["size_b"].astype(np.int64))]
+    over: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while (up := over.get(n, n)) != n:
+            over[n] = over.get(up, up)
+            n = up
+        return n
+
+    kept = []
+    for i, (a, b) in enumerate(zip(links["a"].tolist(), links["b"].tolist())):
+        x, y = top(a), top(b)
+        if x != y:
+            over[y] = x
+            kept.append(i)
+    return pa.table([pa.array(_signed(links["a"][kept].copy())), pa.array(_signed(links["b"][kept].copy()))], ["a", "b"])
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, ranges: int) -> DataFrame:
+    """Links a, b among the candidates (bucket, pairs, node), as a spanning forest per bucket.
+
+    docs: doc, same, text; nodes: node, doc, same, size, of one document per node.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(nodes.join(wanted, "node").select("node", "doc", "same", "size"))
-    n, total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(6, min(64, math.ceil(8 * total / RANGE_BYTES)))
-    buckets = max(1, math.ceil(8 * total / (ranges * RANGE_BYTES)))
-    few = wanted.select("node", "doc", "same")
-    chosen = docs.join(F.broadcast(few) if n <= BROADCAST_NODES else few, ["doc", "same"]).select("node", "text")
-    parts = _parts(chosen, ranges)  # equal rows of documents give a node twice, which changes nothing
-    bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int")
-    if buckets == 1:
-        placed = parts.withColumn("cell", F.lit(0))
-    else:
-        placed = parts.join(pairs.select(bucket.alias("cell"), F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    asked = pairs.select("a", "b", bucket.alias("bucket")).withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
-    partial = asked.groupBy("range", "bucket").cogroup(placed.groupBy("range", "cell")).applyInArrow(_overlaps, "a long, b long, shared long")
-    summed = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    return summed.join(pairs, ["a", "b"]).where(F.lit(100 + NUMERATOR) * F.col("shared") >= F.lit(NUMERATOR) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    asked = candidates.where("pairs is not null").select("bucket", "pairs")
+    cells = candidates.where("node is not null").groupBy("node").agg(F.collect_set("bucket").alias("cells"))
+    wanted = materialize(nodes.join(cells, "node").select("node", "doc", "same", "cells"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    parts = _parts(docs.join(few, ["doc", "same"]).select("node", "text", "cells"), ranges)
+    each = asked.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    counted = each.groupBy("range", "bucket").cogroup(parts.groupBy("range", "cell")).applyInArrow(_overlaps, "bucket int, shared binary")
+    return asked.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_forest, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -340,23 +488,6 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def _unmet(members: DataFrame, state: DataFrame) -> DataFrame:
-    """Candidates among the members of kept meetings that are in different components."""
-    alone = F.struct(F.lit(-1).cast("long").alias("doc"), F.col("a").alias("node"))
-    placed = members.join(state.select(F.col("node").alias("a"), "label"), "a", "left").select("hash", "a", "size_a", "rank", F.coalesce("label", alone).alias("label"))
-    split = placed.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("hash")
-    placed = placed.join(split, "hash", "left_semi")
-    x, y = placed.alias("x"), placed.alias("y")
-    a, b = F.col("x.size_a"), F.col("y.size_a")
-    ra, rb = F.col("x.rank"), F.col("y.rank")
-    order = (a < b) | ((a == b) & (F.col("x.a") < F.col("y.a")))
-    most = F.least(ra, rb) + F.least(a - ra, b - rb)
-    short = F.lit(2 * NUMERATOR) * a <= F.lit(100 + NUMERATOR) * (a - ra)
-    enough = (F.lit(100 + NUMERATOR) * most >= F.lit(NUMERATOR) * (a + b)) & (F.lit(NUMERATOR) * b <= 100 * a)
-    met = x.join(y, (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & order & short & enough)
-    return met.select(F.col("x.a").alias("a"), a.alias("size_a"), F.col("y.a").alias("b"), b.alias("size_b")).distinct()
-
-
 def _frequent(spark: SparkSession, described: DataFrame):
     """The hashes that come last, sorted, with their places in the order; at most HEAVY of them, 16 bytes each."""
     top = described.where("hash is not null").groupBy("hash").agg(F.sum("count").alias("count")).orderBy(F.col("count").desc(), "hash").limit(HEAVY).toPandas()
@@ -377,16 +508,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: i
     rows = described.where("hash is null").select("doc", "same", "size", "node")
     first = F.min(F.struct("doc", "same")).alias("first")
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(first, F.max("size").alias("size")).select("node", "first.doc", "first.same", "size"))
-    entries = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") / 4) + 1), F.lit(0))).first()[0]
+    entries, total = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") / 4) + 1), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, entries / FRAGMENT_ENTRIES))))
-    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described), bits), all_pairs))
-    pairs = met.where("b is not null").select("a", "size_a", "b", "size_b").distinct()
-    links = materialize(_verified(docs, nodes, pairs))
+    ranges = min(64, max(RANGES, math.ceil(8 * total / (BUCKETS * CELL_BYTES))))
+    buckets = max(BUCKETS, math.ceil(8 * total / (ranges * CELL_BYTES)))
+    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described), bits), all_pairs, buckets))
+    pairs, members = met.where("pairs is not null").select("bucket", "pairs"), met.where("hash is not null").select("hash", "node", "size")
+    links = materialize(_verified(docs, nodes, materialize(_candidates(pairs, crossed=False)), ranges))
     state = components(nodes, links)
-    rest = materialize(_unmet(met.where("hash is not null").select("hash", "a", "size_a", "rank"), state))
+    rest = materialize(_unmet(members, state, buckets))
     if rest.limit(1).count():
-        more = materialize(_verified(docs, nodes, rest))
-        state = components(nodes, links.union(more))
+        more = _verified(docs, nodes, materialize(_candidates(pairs.union(rest), crossed=True)), ranges)
+        state = components(nodes, links.union(materialize(more)))
     smallest = nodes.join(state, "node", "left").select("node", F.coalesce("label.doc", "doc").alias("component"))
     placed = rows.join(smallest, "node", "left").withColumn("component", F.coalesce("component", "doc"))
     known = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)

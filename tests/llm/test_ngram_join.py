@@ -98,11 +98,22 @@ def test_prefixes_are_long_enough(a, b, shared):
     shared = min(shared, a)
     if 100 * shared >= 75 * (a + b - shared):
         assert shared >= ngram_join.needed(a, b)
-        assert a - shared + 1 <= ngram_join.short_prefix(a) and b - shared + 1 <= ngram_join.prefix(b)
+        assert a - shared + 1 <= ngram_join.prefix(a) and b - shared + 1 <= ngram_join.prefix(b)
     else:
         assert shared < ngram_join.needed(a, b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1))
+def test_counts_of_prefixes_rule_out_no_link(x, y):
+    both = len(x & y)
+    if 100 * both >= 75 * len(x | y):
+        p, q = sorted(x)[: ngram_join.prefix(len(x))], sorted(y)[: ngram_join.prefix(len(y))]
+        pair = np.zeros(1, ngram_join.PAIR)
+        pair["size_a"], pair["size_b"] = len(x), len(y)
+        assert ngram_join.possible(pair, np.array([len(set(p) & set(q))])).all()
+
+
 def test_shingles():
     assert len(ngram_join.shingles("a b c d e f")) == 2
     assert len(ngram_join.shingles("a b c d e a b c d e")) == len(shingle_set("a b c d e a b c d e"))
@@ -130,5 +141,6 @@ def test_edges(spark):
 
 def test_shuffled_verification(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
-    monkeypatch.setattr(ngram_join, "RANGE_BYTES", 400)
+    monkeypatch.setattr(ngram_join, "CELL_BYTES", 400)
+    monkeypatch.setattr(ngram_join, "RANGES", 3)
     same(spark, corpus(random.Random(5), 120))
