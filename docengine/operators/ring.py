@@ -91,30 +91,42 @@ class Ring:
         each = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(VNODES - 1))).alias("i"))
         return each.select(F.md5(F.concat_ws(":", "node", F.col("i").cast("string")).cast("binary")).alias("tok"), "node")
 
-    def intervals_frame(self, spark: SparkSession) -> tuple[DataFrame, int]:
-        """prefix, low, high, replicas, and the prefix's length: one row per interval and prefix that it touches."""
-        found = self.intervals()
-        digits = 1
-        while 16**digits < len(found) and digits < 8:
-            digits += 1
-        rows = []
-        for low, high, nodes in found:
-            first = int((low or "0" * digits)[:digits], 16)
-            last = 16**digits - 1 if high == "g" else int(high[:digits], 16)
-            rows += [(format(p, f"0{digits}x"), low, high, nodes) for p in range(first, last + 1)]
-        return spark.createDataFrame(rows, "prefix string, low string, high string, replicas array<string>"), digits
-
     def place(self, df: DataFrame, key: Column, into: str = "replicas") -> DataFrame:
-        """df with the replica set of each key; without nodes the set is empty."""
-        if not self.nodes:
-            return df.withColumn(into, F.array().cast("array<string>"))
-        spark = df.sparkSession
-        table, digits = self.intervals_frame(spark)
-        if len(self.nodes) * VNODES * 2 <= BROADCAST_INTERVALS:
-            table = F.broadcast(table)
-        hashed = df.withColumn("_hash", F.md5(key.cast("string").cast("binary"))).withColumn("_prefix", F.substring("_hash", 1, digits))
-        at = (F.col("_prefix") == F.col("prefix")) & (F.col("_hash") >= F.col("low")) & (F.col("_hash") < F.col("high"))
-        return hashed.join(table, at).select(*(F.col(f"`{c}`") for c in df.columns), F.col("replicas").alias(into))
+        """df with the replica set of each key (null counts as the empty text); without nodes the set is empty."""
+        return _placed(df, key, [(low, high, (nodes,)) for low, high, nodes in self.intervals()] or [("", "g", ([],))], (into,))
+
+
+def _placed(df: DataFrame, key: Column, found: list[tuple[str, str, tuple[list[str], ...]]], names: tuple[str, ...]) -> DataFrame:
+    """df with the values of the interval that each key's hash lies in.
+
+    The intervals become a table with one row per interval and hash prefix that it touches; prefixes are long enough for a
+    prefix to have a row or two. Keys meet it in an equi-join on the prefix.
+    """
+    digits = 1
+    while 16**digits < len(found) and digits < 8:
+        digits += 1
+    rows = []
+    for low, high, values in found:
+        first = int((low or "0" * digits)[:digits], 16)
+        last = 16**digits - 1 if high == "g" else int(high[:digits], 16)
+        rows += [(format(p, f"0{digits}x"), low, high, *values) for p in range(first, last + 1)]
+    columns = [f"_value{i}" for i in range(len(names))]
+    table = df.sparkSession.createDataFrame(rows, "_at string, _low string, _high string, " + ", ".join(f"{c} array<string>" for c in columns))
+    if len(rows) <= BROADCAST_INTERVALS:
+        table = F.broadcast(table)
+    # never null, so that the join needs no test for it and the hash is computed once
+    hashed = df.withColumn("_hash", F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")))
+    at = (F.substring("_hash", 1, digits) == F.col("_at")) & (F.col("_hash") >= F.col("_low")) & (F.col("_hash") < F.col("_high"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return hashed.join(table, at).select(*kept, *(F.col(c).alias(n) for c, n in zip(columns, names)))
+
+
+def _both(before: Ring, after: Ring) -> list[tuple[str, str, tuple[list[str], ...]]]:
+    """The intervals of two rings, cut at the tokens of either, with both replica sets."""
+    sides = [r.intervals() or [("", "g", [])] for r in (before, after)]
+    edges = sorted({low for side in sides for low, _, _ in side}) + ["g"]
+    lows = [[low for low, _, _ in side] for side in sides]
+    return [(low, high, tuple(side[bisect.bisect_right(own, low) - 1][2] for side, own in zip(sides, lows))) for low, high in zip(edges, edges[1:])]
 
 
 def primary(replicas: Column) -> Column:
@@ -130,9 +142,11 @@ def migration_plan(before: Ring, after: Ring, keys: DataFrame, key: str) -> Data
     """key, source, target: copies that a change of members calls for; the source is the first old owner that stays.
 
     A key's new owners less its old ones: that is the anti-join of the two placements, taken within the row, so no
-    shuffle is needed. Old owners keep their copies; drops() lists them.
+    shuffle is needed. Intervals whose owners stay the same are left out, so keys that stay drop out in the join. Old
+    owners keep their copies; drops() lists them.
     """
-    both = after.place(before.place(keys.select(key), F.col(key), "old"), F.col(key), "new")
+    moved = [x for x in _both(before, after) if set(x[2][1]) - set(x[2][0])] or [("", "0", ([], []))]
+    both = _placed(keys.select(key), F.col(key), moved, ("old", "new"))
     stays = F.array(*(F.lit(n) for n in after.nodes)) if after.nodes else F.array().cast("array<string>")
     kept = F.filter("old", lambda n: F.array_contains(stays, n))
     source = F.coalesce(F.get(kept, F.lit(0)), F.get("old", F.lit(0)))
@@ -141,7 +155,8 @@ def migration_plan(before: Ring, after: Ring, keys: DataFrame, key: str) -> Data
 
 def drops(before: Ring, after: Ring, keys: DataFrame, key: str) -> DataFrame:
     """key, node: copies that are no longer owned after a change."""
-    both = after.place(before.place(keys.select(key), F.col(key), "old"), F.col(key), "new")
+    moved = [x for x in _both(before, after) if set(x[2][0]) - set(x[2][1])] or [("", "0", ([], []))]
+    both = _placed(keys.select(key), F.col(key), moved, ("old", "new"))
     return both.select(F.col(key).alias("key"), F.explode(F.array_except("old", "new")).alias("node"))
 
 
