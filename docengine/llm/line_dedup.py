@@ -4,9 +4,9 @@ Lines are what \\n separates; lines without a word are left alone. Equal lines a
 Two texts of NEAR_CHARS code points or more are linked if THRESHOLD edits turn one into the other. Each text is split
 into THRESHOLD + 1 even segments, of which an edit can spare at least one: the segments, with their number and the
 text's length, are the index. Each text probes the index of every length from its own down to THRESHOLD less with its
-substrings at the positions that the spare edits on either side allow. A shared key gives a candidate if the counts of
-common letters differ by no more than the edits explain; that is tested inside the join, so pairs that merely share a
-segment are never made. Candidates are verified by a banded bit-parallel edit distance: one word of bits per number of
+substrings at the positions that the spare edits on either side allow. A shared key gives a candidate if the texts' words differ by no
+more than the edits explain, as far as one bit per class of words tells; that is tested inside the join, so most pairs
+that merely share a segment are never made. Candidates are verified by a banded bit-parallel edit distance: one word of bits per number of
 edits, one bit per diagonal, one step per character.
 
 Of a text, the first occurrence stays (smallest doc_id, then position in the document); a text that is linked to one
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from docengine.llm.common import bind, materialize
 
 THRESHOLD, NEAR_CHARS = 1, 16
-#: Letters that are counted for the letter filter, and the bits of each count.
-COUNTED, COUNT_BITS = "etaoinrshdlu", 5
 #: So many hashes of 8 bytes may be broadcast, after they are counted.
 BROADCAST_HASHES = 500_000
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -65,22 +63,14 @@ def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
     return out
 
 
-def letters(line: Column, length: Column) -> Column:
-    """Counts of COUNTED, each up to a limit, packed into a long."""
-    packed, most = F.lit(0).cast("long"), (1 << COUNT_BITS) - 1
-    for i, c in enumerate(COUNTED):
-        n = F.least(length - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(most))
-        packed = packed.bitwiseOR(F.shiftleft(n.cast("long"), i * COUNT_BITS))
-    return packed
+def word_parity(line: Column) -> Column:
+    """64 bits: which hash classes of words, as blanks part them, have an odd number of words in the line."""
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def letters_differ(a: Column, b: Column) -> Column:
-    """A lower bound of twice the edits."""
-    most, total = F.lit((1 << COUNT_BITS) - 1), F.lit(0)
-    for i in range(len(COUNTED)):
-        x, y = (F.shiftrightunsigned(v, i * COUNT_BITS).bitwiseAND(most).cast("int") for v in (a, b))
-        total = total + F.abs(x - y)
-    return total
+def close(a: Column, b: Column, threshold: int) -> Column:
+    """Whether so many edits can explain how the parities differ: an edit takes and gives three words at most."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 3 * threshold
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -139,25 +129,25 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _texts(lines: DataFrame, threshold: int) -> DataFrame:
-    """Per text: h1, h2, first (smallest doc), n, and for long enough texts letters, index and probe keys."""
+    """Per text: h1, h2, first (smallest doc), n, and for long enough texts words (their parity), index and probe keys."""
     line, length = F.col("line"), F.col("length")
     known = lines.select("doc", "h1", "h2", "line", F.length("line").alias("length"))
     near = length >= NEAR_CHARS
-    keys = [F.when(near, F.array(*index_keys(line, length, threshold))).alias("index"), F.when(near, F.array(*probe_keys(line, length, threshold))).alias("probe"), F.when(near, letters(line, length)).alias("letters")]
-    return known.select("doc", "h1", "h2", *keys).groupBy("h1", "h2", "index", "probe", "letters").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+    keys = [F.when(near, F.array(*index_keys(line, length, threshold))).alias("index"), F.when(near, F.array(*probe_keys(line, length, threshold))).alias("probe"), F.when(near, word_parity(line)).alias("words")]
+    return known.select("doc", "h1", "h2", *keys).groupBy("h1", "h2", "index", "probe", "words").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
 def _candidates(texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs a, b of h1 that share a key and pass the letter filter."""
+    """Pairs a, b of h1 that share a key and whose words are close."""
     tagged = F.concat(F.transform("index", lambda k: F.struct(k.alias("key"), F.lit(0).alias("probe"))), F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(1).alias("probe"))))
-    rows = texts.where(F.col("letters").isNotNull()).select("h1", "letters", F.explode(tagged).alias("k")).where("k.key is not null")
-    rows = rows.select(F.col("k.key").alias("key"), F.col("k.probe").alias("probe"), "h1", "letters")
+    rows = texts.where(F.col("words").isNotNull()).select("h1", "words", F.explode(tagged).alias("k")).where("k.key is not null")
+    rows = rows.select(F.col("k.key").alias("key"), F.col("k.probe").alias("probe"), "h1", "words")
     # both sides are one exchange; the condition looks at both, so that it is not pushed below either
     left, right = rows.alias("l"), rows.alias("r")
     role = F.col("l.probe") * 2 + F.col("r.probe")
     pair = ((role == 0) & (F.col("l.h1") < F.col("r.h1"))) | ((role == 1) & (F.col("l.h1") != F.col("r.h1")))
-    close = letters_differ(F.col("l.letters"), F.col("r.letters")) <= 2 * threshold
-    return left.join(right, (F.col("l.key") == F.col("r.key")) & pair & close).select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct()
+    alike = close(F.col("l.words"), F.col("r.words"), threshold)
+    return left.join(right, (F.col("l.key") == F.col("r.key")) & pair & alike).select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct()
 
 
 def _linked(lines: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:

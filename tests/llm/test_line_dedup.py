@@ -126,3 +126,14 @@ def test_many_lines_in_one_document(spark):
     text = "\n".join(f"line {i % 9000}" for i in range(18_000))
     got = line_dedup.dedup(docs(spark, [text])).first()
     assert got.text == "\n".join(f"line {i}" for i in range(9000)) and got.line_dedup.n_exact == 9000
+
+
+def test_parity_rules_out_no_link(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(500):
+        a = "".join(rng.choices("ab  c", k=30))
+        i = rng.randrange(30)
+        pairs.append((a, rng.choice([a[:i] + " " + a[i:], a[:i] + a[i + 1 :], a[:i] + " " + a[i + 1 :], a[:i] + "z" + a[i + 1 :]])))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(~line_dedup.close(line_dedup.word_parity(F.col("a")), line_dedup.word_parity(F.col("b")), 1)).count() == 0
