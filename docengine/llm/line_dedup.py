@@ -171,7 +171,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int
     pairs = materialize(_candidates(texts, threshold))
     near = _linked(lines, pairs, threshold).withColumn("near", F.lit(True))
     told = texts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
-    told = told.where(F.col("near") | (F.col("n") > 1))
+    # a table of its own, so that the join below is of two exchanges, of which the adaptive planner splits a hot line's
+    told = materialize(told.where(F.col("near") | (F.col("n") > 1)))
     hits = lines.select("doc", "same", "pos", "h1", "h2").join(told, ["h1", "h2"])
     hits = hits.select("doc", "same", F.struct("h1", "h2", "pos", "near", (F.col("near") | (F.col("doc") != F.col("first"))).alias("every")).alias("hit"))
     per = hits.groupBy("doc", "same").agg(F.array_sort(F.collect_list("hit")).alias("hits"))  # lines of one document
