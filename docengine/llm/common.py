@@ -16,8 +16,14 @@ BATCH_ROWS = 1000
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files make fewer partitions than there are cores; such input is small, so moving it is cheap."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
