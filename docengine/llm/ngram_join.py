@@ -11,7 +11,8 @@ node; the rest of the work is on nodes. Two nodes link when their sets' Jaccard
    counts, for the pairs that meet in it, how many prefix shingles they share; the counts are summed per pair. What lies
    beyond the prefixes adds a known amount at most, so the sum tells which pairs can link at all. A meeting of more than
    ALL_PAIRS nodes is not expanded: each member is paired with the first CENTRES of a fixed order, and the meeting is kept
-   for step 4, which makes up for the counts that are missing so.
+   for step 4, which makes up for the counts that are missing so. A shingle that more than SPLIT documents have is dealt to
+   several tasks, by node and shingle, so that a group of near copies of any size is bounded in each.
 3. Candidates are verified vertically: the sets of their nodes are cut into ranges of hashes, each range counts partial
    overlaps by itself, and the counts are summed per pair. Of the links, a spanning forest per bucket of pairs goes on.
 4. Components of the links are found by exchanging the smallest label. In each kept meeting, members that now share a
@@ -45,8 +46,10 @@ HEAVY, LOCAL = 1 << 18, 8
 HELD, PACKED = 1 << 21, 1 << 19
 #: Entries, and members of kept meetings, that a fragment gets on average; bytes of all sets for each range and bucket.
 FRAGMENT_ENTRIES, FRAGMENT_MEMBERS, CELL_BYTES = 300_000, 50_000, 48 << 20
-#: Into how many ranges and buckets at least.
-RANGES, BUCKETS = 8, 2
+#: Into how many ranges and buckets at least, and prefix entries for each bucket of pairs.
+RANGES, BUCKETS, BUCKET_ENTRIES = 8, 2, 10_000_000
+#: Members of one meeting that one task gets; a shingle that is more frequent is dealt to several.
+SPLIT = 50_000
 #: Meetings of more nodes are not expanded to all pairs at first; each member meets so many of them.
 ALL_PAIRS, CENTRES = 64, 4
 #: Words whose hashes a worker remembers.
@@ -167,17 +170,24 @@ def _packed(fragment: np.ndarray, rows: np.ndarray, names: tuple[str, str]) -> p
 
 
 def _prefixes(docs: DataFrame, heavy, bits: int) -> DataFrame:
-    """Packed prefix entries by fragment, the first bits of their hashes."""
+    """Packed prefix entries by fragment: the first bits of their hashes, or a share of one very frequent shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, place = heavy.value
+        frequent, place, deal, offset = heavy.value
         held: list[np.ndarray] = []
         seen: set[int] = set()  # copies of one set make equal entries; one of them is enough
         total = 0
 
         def send() -> pa.RecordBatch:
             rows = np.concatenate(held)
-            return _packed((rows["hash"] >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(rows), np.int32), rows, ("fragment", "entries"))
+            fragment = (rows["hash"] >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(rows), np.int32)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, rows["hash"]), len(frequent) - 1)
+                hot = np.flatnonzero((frequent[at] == rows["hash"]) & (deal[at] > 1))
+                # by node and shingle, so that nodes that are apart at one shingle meet at another
+                turn = _mixed(rows["node"][hot] ^ rows["hash"][hot]) % deal[at[hot]].astype(np.uint64)
+                fragment[hot] = offset[at[hot]] + turn.astype(np.int32)
+            return _packed(fragment, rows, ("fragment", "entries"))
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -253,8 +263,11 @@ def possible(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.int64) + np.maximum(a - _prefixes_of(a), b - _prefixes_of(b)) >= needed(a, b)
 
 
-def _met(rows: np.ndarray, all_pairs: int) -> tuple[np.ndarray, np.ndarray]:
-    """From one fragment's entries: its pairs with their counts, and places of the members of kept meetings."""
+def _met(rows: np.ndarray, all_pairs: int, dealt: bool) -> tuple[np.ndarray, np.ndarray]:
+    """From one fragment's entries: its pairs with their counts, and places of the members of kept meetings.
+
+    dealt: the fragment is a share of one shingle, whose meeting goes on in other shares and so is always kept.
+    """
     node, size, rank = rows["node"], rows["size"].astype(np.int64), rows["rank"].astype(np.int64)
     starts = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]) if len(rows) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[starts, len(rows)])
@@ -274,6 +287,8 @@ def _met(rows: np.ndarray, all_pairs: int) -> tuple[np.ndarray, np.ndarray]:
         for c in at[np.argsort(_first(node[at]), kind="stable")[:CENTRES]]:
             found.append(_pairs(np.full(len(at), node[c]), node[at], np.full(len(at), size[c]), size[at]))
         kept.append(at)
+    if dealt:
+        kept = [np.arange(len(rows))]
     return _summed(np.concatenate(found)), np.concatenate(kept)
 
 
@@ -285,48 +300,46 @@ def _bucketed(pairs: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
     return keys.tolist(), [pairs[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(pairs)])]
 
 
-def _meetings(prefixes: DataFrame, all_pairs: int, buckets: int) -> DataFrame:
-    """Packed pairs (bucket, pairs), and members (hash, node, size) of the meetings that were not expanded."""
+def _meetings(prefixes: DataFrame, all_pairs: int, buckets: int, bits: int) -> DataFrame:
+    """Packed pairs (bucket, pairs), and members (hash, share, node, size) of the meetings that were not expanded."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _sorted(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY))
-        pairs, kept = _met(rows, all_pairs)
+        pairs, kept = _met(rows, all_pairs, table.column("fragment")[0].as_py() >= 1 << bits)
         keys, blobs = _bucketed(pairs, buckets)
         n, m = len(keys), len(kept)
         none = pa.nulls(n, pa.int64())
-        first = [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), none, none, none]
-        members = [_signed(rows["hash"][kept].copy()), _signed(rows["node"][kept].copy()), rows["size"][kept].astype(np.int64)]
+        first = [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none]
+        share = np.full(m, table.column("fragment")[0].as_py(), np.int64)
+        members = [_signed(rows["hash"][kept].copy()), share, _signed(rows["node"][kept].copy()), rows["size"][kept].astype(np.int64)]
         second = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, members)]
-        return pa.table([pa.chunked_array([x, y]) for x, y in zip(first, second)], ["bucket", "pairs", "hash", "node", "size"])
+        return pa.table([pa.chunked_array([x, y]) for x, y in zip(first, second)], ["bucket", "pairs", "hash", "share", "node", "size"])
 
-    return prefixes.groupBy("fragment").applyInArrow(run, "bucket int, pairs binary, hash long, node long, size long")
+    return prefixes.groupBy("fragment").applyInArrow(run, "bucket int, pairs binary, hash long, share long, node long, size long")
 
 
-def _crossed(members: np.ndarray, labels: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+def _crossed(rows: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
     """Counted pairs of members of one meeting and different components, a few members at a time.
 
-    members, labels, hashes, sizes: sorted by hash. In each meeting the largest component's members need not be compared
-    with each other; all others take their turn against the whole meeting.
+    rows: hash and share, by which they are sorted, node, size, label, main (of the meeting's largest component), turn.
+    Rows without a turn are the members of a share; rows with one are members outside the largest component, which take
+    their turn against all members of the share, whichever share is their own.
     """
-    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(hashes)] if len(hashes) else starts
-    main = np.zeros(len(hashes), bool)
-    turns: dict[int, list[tuple[int, int, int]]] = {}
-    for x, y in zip(starts.tolist(), ends.tolist()):
-        names, counts = np.unique(labels[x:y], return_counts=True)
-        if len(names) == 1:
-            continue
-        main[x:y] = labels[x:y] == names[np.argmax(counts)]
-        for i in (x + np.flatnonzero(~main[x:y])).tolist():
-            turns.setdefault(int(members[i]), []).append((i, x, y))
+    hashes, share, nodes, sizes, labels, main, turn = (rows[c] for c in ("hash", "share", "node", "size", "label", "main", "turn"))
+    starts = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (share[1:] != share[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+    turns: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(hashes)]):
+        there = x + np.flatnonzero(~turn[x:y])
+        for i in (x + np.flatnonzero(turn[x:y])).tolist():
+            turns.setdefault(int(nodes[i]), []).append((i, there))
     held, total = [], 0
     for places in turns.values():
-        at = np.concatenate([np.arange(x, y) for _, x, y in places])
-        own = np.repeat([i for i, _, _ in places], [y - x for _, x, y in places])
-        # of two that both take their turn here, the smaller counts the pair
-        fine = (labels[at] != labels[own]) & (main[at] | (members[own] < members[at]))
+        at = np.concatenate([there for _, there in places])
+        own = np.repeat([i for i, _ in places], [len(there) for _, there in places])
+        # of two that both take their turn in a meeting, the smaller counts the pair
+        fine = (labels[at] != labels[own]) & (main[at] | (nodes[own] < nodes[at]))
         at, own = at[fine], own[fine]
-        held.append(_summed(_pairs(members[own], members[at], sizes[own], sizes[at], crossed=True)))
+        held.append(_summed(_pairs(nodes[own], nodes[at], sizes[own], sizes[at], crossed=True)))
         total += len(held[-1])
         if total > 500_000:
             yield np.concatenate(held)
@@ -337,21 +350,29 @@ def _crossed(members: np.ndarray, labels: np.ndarray, hashes: np.ndarray, sizes:
 
 def _unmet(members: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     """Packed pairs (bucket, pairs) of members of kept meetings that are in different components."""
+    names = ("hash", "share", "node", "size", "label", "main", "turn")
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, nodes, sizes, labels = (table.column(c).to_numpy() for c in ("hash", "node", "size", "label"))
-        order = np.argsort(hashes, kind="stable")
+        rows = {c: np.array(table.column(c).to_pylist(), bool) if c in ("main", "turn") else table.column(c).to_numpy() for c in names}
+        order = np.lexsort((rows["share"], rows["hash"]))
+        rows = {c: v[order] for c, v in rows.items()}
+        rows["node"] = rows["node"].view(np.uint64)
         keys, blobs = [], []
-        for pairs in _crossed(nodes[order].view(np.uint64), labels[order], hashes[order], sizes[order]):
+        for pairs in _crossed(rows):
             k, x = _bucketed(_summed(pairs), buckets)
             keys, blobs = keys + k, blobs + x
         return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
 
-    placed = members.join(state.select("node", F.col("label.node").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("hash")
-    fragments = max(1, math.ceil(members.count() / FRAGMENT_MEMBERS))
-    fragment = F.pmod(F.xxhash64("hash"), F.lit(fragments)).alias("fragment")
-    return placed.join(split, "hash", "left_semi").select(fragment, "hash", "node", "size", "label").groupBy("fragment").applyInArrow(run, "bucket int, pairs binary")
+    placed = materialize(members.join(state.select("node", F.col("label.node").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    per = placed.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("n"), F.collect_set("share").alias("shares"))
+    per = per.groupBy("hash").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.array_distinct(F.flatten(F.collect_list("shares"))).alias("shares"))
+    split = materialize(per.where("labels > 1").select("hash", "largest", "shares"))
+    met = placed.join(split, "hash").withColumn("main", F.col("label") == F.col("largest"))
+    there = met.select("hash", "share", "node", "size", "label", "main", F.lit(False).alias("turn"))
+    turns = met.where("not main").select("hash", F.explode("shares").alias("share"), "node", "size", "label", "main", F.lit(True).alias("turn"))
+    fragments = max(1, math.ceil(placed.count() / FRAGMENT_MEMBERS))
+    fragment = F.pmod(F.xxhash64("hash", "share"), F.lit(fragments)).alias("fragment")
+    return there.union(turns).select(fragment, *names).groupBy("fragment").applyInArrow(run, "bucket int, pairs binary")
 
 
 def _candidates(packed: DataFrame, crossed: bool) -> DataFrame:
@@ -480,6 +501,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         near = both.join(state.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         step = state.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label")).alias("label"))
+        step = materialize(step)  # so that the next join is of two exchanges, which can be split where a component is large
         jump = step.select(F.col("node").alias("far"), F.col("label").alias("farther"))
         step = step.join(jump, F.col("label.node") == F.col("far"), "left").select("node", "old", F.least("label", F.coalesce("farther", "label")).alias("label"))
         step = materialize(step)
@@ -488,17 +510,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def _frequent(spark: SparkSession, described: DataFrame):
-    """The hashes that come last, sorted, with their places in the order; at most HEAVY of them, 16 bytes each."""
+def _frequent(spark: SparkSession, described: DataFrame, bits: int, split: int):
+    """The hashes that come last, sorted, with their places in the order, the number of tasks that share them, and the first
+    of these tasks' fragments; at most HEAVY of them, 32 bytes each."""
     top = described.where("hash is not null").groupBy("hash").agg(F.sum("count").alias("count")).orderBy(F.col("count").desc(), "hash").limit(HEAVY).toPandas()
     hashes, counts = top["hash"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     place = np.empty(len(hashes), np.int64)
     place[np.lexsort((hashes, counts))] = np.arange(len(hashes))
+    deal = -(-counts // split)
+    offset = (1 << bits) + np.cumsum(deal) - deal
     order = np.argsort(hashes)
-    return spark.sparkContext.broadcast((hashes[order], place[order]))
+    return spark.sparkContext.broadcast((hashes[order], place[order], deal[order], offset[order]))
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: int = ALL_PAIRS) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: int = ALL_PAIRS, split: int = SPLIT) -> DataFrame:
     """Per row of df: doc (the id), same (a hash of the text), size (of the set), component (smallest id reachable by links, its own included)."""
     spark = df.sparkSession
     small_batches(spark)
@@ -510,10 +535,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: i
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(first, F.max("size").alias("size")).select("node", "first.doc", "first.same", "size"))
     entries, total = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") / 4) + 1), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, entries / FRAGMENT_ENTRIES))))
-    ranges = min(64, max(RANGES, math.ceil(8 * total / (BUCKETS * CELL_BYTES))))
-    buckets = max(BUCKETS, math.ceil(8 * total / (ranges * CELL_BYTES)))
-    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described), bits), all_pairs, buckets))
-    pairs, members = met.where("pairs is not null").select("bucket", "pairs"), met.where("hash is not null").select("hash", "node", "size")
+    buckets = max(BUCKETS, math.ceil(entries / BUCKET_ENTRIES))
+    ranges = min(64, max(RANGES, math.ceil(8 * total / (buckets * CELL_BYTES))))
+    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described, bits, split), bits), all_pairs, buckets, bits))
+    pairs, members = met.where("pairs is not null").select("bucket", "pairs"), met.where("hash is not null").select("hash", "share", "node", "size")
     links = materialize(_verified(docs, nodes, materialize(_candidates(pairs, crossed=False)), ranges))
     state = components(nodes, links)
     rest = materialize(_unmet(members, state, buckets))
@@ -521,6 +546,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: i
         more = _verified(docs, nodes, materialize(_candidates(pairs.union(rest), crossed=True)), ranges)
         state = components(nodes, links.union(materialize(more)))
     smallest = nodes.join(state, "node", "left").select("node", F.coalesce("label.doc", "doc").alias("component"))
+    # a table of its own, so that the join below is of two exchanges, of which the adaptive planner splits a large group's
+    smallest = materialize(smallest)
     placed = rows.join(smallest, "node", "left").withColumn("component", F.coalesce("component", "doc"))
     known = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)
     return placed.select(known("doc"), "same", "size", known("component"))

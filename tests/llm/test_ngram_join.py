@@ -79,6 +79,15 @@ def test_larger_group_of_near_copies(spark):
         texts.append(" ".join(ws))
     same(spark, texts)
     same(spark, texts, all_pairs=8)
+    same(spark, texts, all_pairs=8, split=40)
+
+
+def test_frequent_shingles_are_dealt_out(spark):
+    rng = random.Random(13)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{passage} {' '.join(f'q{rng.randrange(40)}' for _ in range(rng.randrange(0, 9)))}" for _ in range(200)]
+    same(spark, texts, all_pairs=4, split=30)
+    same(spark, texts, all_pairs=4, split=1)
 
 
 def test_chain(spark):
@@ -143,4 +152,5 @@ def test_shuffled_verification(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
     monkeypatch.setattr(ngram_join, "CELL_BYTES", 400)
     monkeypatch.setattr(ngram_join, "RANGES", 3)
+    monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 500)
     same(spark, corpus(random.Random(5), 120))
