@@ -26,8 +26,8 @@ from docengine.llm.common import small_batches
 
 #: Words up to so many bytes are merged with the rank array.
 SHORT = 64
-#: Words that a worker remembers; the memory is dropped when it is full.
-REMEMBERED = 150_000
+#: Words that a worker remembers anew; when they are so many, those before them are forgotten.
+REMEMBERED = 200_000
 #: How byte-level BPE cuts a text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond this code point Unicode versions differ between libraries; the tokenizer file's own rules cut such texts.
@@ -58,13 +58,17 @@ class Codec(dict):
         vocab, letters = spec["model"]["vocab"], byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.file, self.rules = file, None
+        self.before: dict[str, tuple[int, ...]] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.byte_ids = [vocab[c] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: the rank of a pair of tokens, and by rank the token that they make
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.ranks[vocab[left], vocab[right]] = rank
+            self.made.append(vocab[left + right])
         top = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes = [b""] * top
         for token, i in vocab.items():
@@ -74,47 +78,50 @@ class Codec(dict):
         self.digits = [str(i) for i in range(top)]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        parts = [self.byte_ids[b] for b in word.encode()]
-        ids = tuple(self.merged(parts) if len(parts) <= SHORT else self.merged_long(parts))
+        ids = self.before.get(word)
+        if ids is None:
+            parts = list(map(self.byte_ids.__getitem__, word.encode()))
+            ids = tuple(self.merged(parts) if len(parts) <= SHORT else self.merged_long(parts))
         if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
     def merged(self, parts: list[int]) -> list[int]:
-        pairs, none = self.pairs, (_NO_PAIR, -1)
-        ranks = [pairs.get(pair, none)[0] for pair in zip(parts, parts[1:])]
+        rank, made = self.ranks.get, self.made
+        ranks = [rank(pair, _NO_PAIR) for pair in zip(parts, parts[1:])]
         while ranks:
             low = min(ranks)
             if low == _NO_PAIR:
                 break
             i = ranks.index(low)
-            parts[i] = pairs[parts[i], parts[i + 1]][1]
+            parts[i] = token = made[low]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = pairs.get((parts[i], parts[i + 1]), none)[0]
+                ranks[i] = rank((token, parts[i + 1]), _NO_PAIR)
             if i:
-                ranks[i - 1] = pairs.get((parts[i - 1], parts[i]), none)[0]
+                ranks[i - 1] = rank((parts[i - 1], token), _NO_PAIR)
         return parts
 
     def merged_long(self, parts: list[int]) -> list[int]:
-        pairs, n = self.pairs, len(parts)
+        rank, made, n = self.ranks.get, self.made, len(parts)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(found[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (found := pairs.get((parts[i], parts[i + 1])))]
+        heap = [(found, i, *pair) for i, pair in enumerate(zip(parts, parts[1:])) if (found := rank(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            low, i, left, right = heapq.heappop(heap)
             j = after[i]
             if j < 0 or parts[i] != left or parts[j] != right:
                 continue
-            parts[i], parts[j] = pairs[left, right][1], -1
+            parts[i], parts[j] = made[low], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (found := pairs.get((parts[a], parts[b]))):
-                    heapq.heappush(heap, (found[0], a, parts[a], parts[b]))
+                if a >= 0 and b >= 0 and (found := rank((parts[a], parts[b]))) is not None:
+                    heapq.heappush(heap, (found, a, parts[a], parts[b]))
         return [p for p in parts if p >= 0]
 
     def words(self, text: str) -> list[str]:
