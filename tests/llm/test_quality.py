@@ -83,3 +83,25 @@ def test_edges(spark):
 def test_both_ways_of_counting(n):
     text = " ".join("ab cd ef gh ij".split()[i * i % 5] for i in range(n))
     assert measured(text)[:6] == plain(text)
+
+
+def test_bands_reject_noise_and_soft_repeats(spark):
+    import random
+
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60)) for _ in range(200))
+    letters = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4000))
+    mixed = " ".join(letters[i : i + 3] for i in range(0, 4000, 3))
+    lower = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 11))) for _ in range(1000))
+    few = " ".join("".join(rng.choices([chr(c) for c in range(33, 127)], k=rng.randrange(3, 11))) for _ in range(60))
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(150)]
+    dull = " ".join(rng.choices(vocabulary, k=1500))
+    rows = quality.assess(docs(spark, [noise, mixed, lower, few, dull])).collect()
+    assert not any(r.base_failed or r.kept for r in rows)
+
+
+def test_bands_alone_reject_documents(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    rows = op6_quality(spark, sf_dir).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
+    count = {(r.quality, r.kept): r["count"] for r in rows}
+    assert count[0, False] > 0 and (1, False) not in count
