@@ -1,13 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Lines are what \\n separates; lines without a word are left alone. Equal lines are one text, known by two 64-bit hashes.
-Two texts of NEAR_CHARS code points or more are linked if THRESHOLD edits turn one into the other. Each text is split
-into THRESHOLD + 1 even segments, of which an edit can spare at least one: the segments, with their number and the
-text's length, are the index. Each text probes the index of every length from its own down to THRESHOLD less with its
-substrings at the positions that the spare edits on either side allow. A shared key gives a candidate if the texts' words differ by no
-more than the edits explain, as far as one bit per class of words tells; that is tested inside the join, so most pairs
-that merely share a segment are never made. Candidates are verified by a banded bit-parallel edit distance: one word of bits per number of
-edits, one bit per diagonal, one step per character.
+Two texts of NEAR_CHARS code points or more are linked if so many edits turn one into the other as EDITS allows for the
+shorter one's length. A text belongs to a class of lengths. With t edits, the t + 1 segments of its index are as long as
+the class's smallest length lets them be without overlap, half of them counted from its start, half from its end. If no
+segment i (from its end of the text) were spared with i edits or fewer outside it, either half would have as many edits as
+segments, which is one too many; so the other text, not the shorter, has one of the segments at its place or at most i
+away. It looks there in its own class, and in the one below if a text of that class can be near. A shared key gives a
+candidate if lengths and words differ by no more than the edits explain, the words as far as one bit per class of words
+tells; that is tested inside the join, so most pairs that merely share a segment are never made. Candidates are verified
+by Spark's banded edit distance over code points.
 
 Of a text, the first occurrence stays (smallest doc_id, then position in the document); a text that is linked to one
 with a smaller first doc_id (ties: smaller text) goes altogether. The document keeps its other lines in order.
@@ -25,42 +27,61 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import bind, materialize
 
-THRESHOLD, NEAR_CHARS = 1, 16
+NEAR_CHARS = 16
+#: Code points below which a row holds, edits. The lengths are multiples of the widths of classes.
+EDITS = ((32, 1), (64, 2), (1 << 30, 3))
 #: So many hashes of 8 bytes may be broadcast, after they are counted.
 BROADCAST_HASHES = 500_000
 HAS_WORD = r"[^\x20\x09-\x0D]"
 LAST = (1 << 63) - 1
 
 
-def cuts(length: Column, part: int, parts: int) -> Column:
-    """Where segment part (from 0) of a text of that length starts, from 0."""
-    return (length * part / parts).cast("int") if part else F.lit(0)
+def most(threshold: int | None) -> int:
+    return max(t for _, t in EDITS) if threshold is None else threshold
 
 
-def _key(part: int, length: Column, piece: Column) -> Column:
-    return F.xxhash64(F.lit(part), length, piece)
+def allowed(length: Column, threshold: int | None) -> Column:
+    """Edits between a text of that length and one not shorter: threshold if there is one, else by EDITS."""
+    if threshold is not None:
+        return F.lit(threshold)
+    out = F.lit(EDITS[-1][1])
+    for below, t in EDITS[-2::-1]:
+        out = F.when(length < below, t).otherwise(out)
+    return out
 
 
-def index_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    parts, out = threshold + 1, []
-    for i in range(parts):
-        start, stop = cuts(length, i, parts), cuts(length, i + 1, parts)
-        out.append(_key(i, length, F.substring(line, start + 1, stop - start)))
+def class_of(length: Column, threshold: int) -> Column:
+    """Smallest length of the class. Classes are wider than threshold, so a text is near to those of two at most."""
+    width = 8 * (threshold // 8 + 1)
+    return length - length % F.when(length < 8 * width, width).otherwise(2 * width)
+
+
+def _pieces(line: Column, length: Column, least: Column, threshold: int | None, shifts: bool, own: bool) -> list[Column]:
+    """Keys of the segments in the class that starts at least: at their places (own) and away from them (shifts)."""
+    edits, out = allowed(least, threshold), []
+    size = (least / (edits + 1)).cast("int")
+    for right in (0, 1):
+        parts = ((edits + 2 - right) / 2).cast("int")  # segments of that half
+        for i in range((most(threshold) + 2 - right) // 2):
+            place = length - size * (i + 1) if right else size * i
+            for shift in range(-i, i + 1):
+                if shifts if shift else own:
+                    start = place + shift
+                    inside = (F.lit(i) < parts) & (start >= 0) & (start + size <= length)
+                    out.append(F.when(inside, F.xxhash64(F.lit(2 * i + right), least, F.substring(line, start + 1, size))))
     return out
 
 
-def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    """Keys of the substrings that can equal a segment of an indexed text, but for the text's own segments."""
-    parts, out = threshold + 1, []
-    for less in range(threshold + 1):
-        other = length - less
-        for i in range(parts):
-            start, stop = cuts(other, i, parts), cuts(other, i + 1, parts)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                if less or shift:
-                    inside = (start + shift >= 0) & (stop + shift <= length)
-                    out.append(F.when(inside, _key(i, other, F.substring(line, start + shift + 1, stop - start))))
-    return out
+def index_keys(line: Column, length: Column, threshold: int | None) -> list[Column]:
+    return _pieces(line, length, class_of(length, most(threshold)), threshold, shifts=False, own=True)
+
+
+def probe_keys(line: Column, length: Column, threshold: int | None) -> list[Column]:
+    """Keys of what can equal a segment of an indexed text that is not longer, but for the text's own segments."""
+    least = class_of(length, most(threshold))
+    below = class_of(F.greatest(length - most(threshold), F.lit(0)), most(threshold))
+    lower = [F.when(below < least, k) for k in _pieces(line, length, below, threshold, shifts=True, own=True)]
+    return _pieces(line, length, least, threshold, shifts=True, own=False) + lower
 
 
 def word_parity(line: Column) -> Column:
@@ -68,57 +89,15 @@ def word_parity(line: Column) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def close(a: Column, b: Column, threshold: int) -> Column:
+def close(a: Column, b: Column, threshold: int | Column) -> Column:
     """Whether so many edits can explain how the parities differ: an edit takes and gives three words at most."""
-    return F.bit_count(a.bitwiseXOR(b)) <= 3 * threshold
-
-
-def within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether threshold edits turn a into b: bit-parallel over the band of 2 * threshold + 1 diagonals.
-
-    Bit d of word e tells whether the first j characters of b and the first j + d - threshold of a are e edits apart
-    or fewer.
-    """
-    band = (1 << (2 * threshold + 1)) - 1
-
-    def run(t: Column) -> Column:
-        x, y = t["x"], t["y"]
-
-        def step(rows: Column, at: Column) -> Column:
-            return bind(F.get(y, at), lambda c: advance(rows, at, c))
+    return F.bit_count(a.bitwiseXOR(b)) <= threshold * 3
 
-        def advance(rows: Column, at: Column, c: Column) -> Column:
-            same = F.lit(0)
-            for d in range(2 * threshold + 1):
-                same = same + F.when(F.get(x, at + (d - threshold)) == c, 1 << d).otherwise(0)
-            return bind(same, lambda m: follow(rows, m))
 
-        def follow(rows: Column, m: Column) -> Column:
-            new = [rows["e0"].bitwiseAND(m)]
-            for e in range(1, threshold + 1):
-                less = rows[f"e{e - 1}"]
-                now = rows[f"e{e}"].bitwiseAND(m).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(F.lit(band)))
-                new.append(now)
-            return F.struct(*(v.alias(f"e{e}") for e, v in enumerate(new)))
-
-        start = F.struct(*(F.lit(sum(1 << (threshold + i) for i in range(e + 1))).alias(f"e{e}") for e in range(threshold + 1)))
-        end = F.aggregate(F.when(F.size(y) > 0, F.sequence(F.lit(0), F.size(y) - 1)).otherwise(F.array().cast("array<int>")), start, step, lambda rows: rows[f"e{threshold}"])
-        apart = F.size(x) - F.size(y)
-        return bind(end, lambda bits: _any_diagonal(apart, bits, threshold))
-
-    chars = F.struct(_chars(a).alias("x"), _chars(b).alias("y"))
-    return F.when(F.abs(F.length(a) - F.length(b)) > threshold, F.lit(False)).otherwise(bind(chars, run))
-
-
-def _any_diagonal(apart: Column, bits: Column, threshold: int) -> Column:
-    hit = F.lit(False)
-    for d in range(2 * threshold + 1):
-        hit = hit | ((apart == d - threshold) & (bits.bitwiseAND(F.lit(1 << d)) != 0))
-    return hit
-
-
-def _chars(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+def within(a: Column, b: Column, threshold: int, edits: Column | None = None) -> Column:
+    """Whether threshold edits turn a into b, or edits where they are given, threshold at most."""
+    distance = F.levenshtein(a, b, threshold)  # banded; -1 beyond the threshold
+    return (distance >= 0) & (distance <= (F.lit(threshold) if edits is None else edits))
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,29 +107,35 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select("doc", "same", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
-def _texts(lines: DataFrame, threshold: int) -> DataFrame:
-    """Per text: h1, h2, first (smallest doc), n, and for long enough texts words (their parity), index and probe keys."""
+def _texts(lines: DataFrame, threshold: int | None) -> DataFrame:
+    """Per text: h1, h2, first (smallest doc), n, and for long enough texts length, words (their parity), index and probe keys."""
     line, length = F.col("line"), F.col("length")
     known = lines.select("doc", "h1", "h2", "line", F.length("line").alias("length"))
     near = length >= NEAR_CHARS
-    keys = [F.when(near, F.array(*index_keys(line, length, threshold))).alias("index"), F.when(near, F.array(*probe_keys(line, length, threshold))).alias("probe"), F.when(near, word_parity(line)).alias("words")]
-    return known.select("doc", "h1", "h2", *keys).groupBy("h1", "h2", "index", "probe", "words").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+    keys = [F.when(near, F.array_compact(F.array(*index_keys(line, length, threshold)))).alias("index"), F.when(near, F.array_compact(F.array(*probe_keys(line, length, threshold)))).alias("probe"), F.when(near, word_parity(line)).alias("words")]
+    return known.select("doc", "h1", "h2", "length", *keys).groupBy("h1", "h2", "length", "index", "probe", "words").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _candidates(texts: DataFrame, threshold: int | None) -> DataFrame:
+    """Pairs a, b of h1 that share a key and whose lengths and words are close."""
 
+    def tagged(column: str, role: int) -> Column:
+        """The keys with the length and the role (1: probe) as one number."""
+        return F.transform(column, lambda k: F.struct(k.alias("key"), (F.col("length") * 2 + role).alias("tag")))
 
-def _candidates(texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs a, b of h1 that share a key and whose words are close."""
-    tagged = F.concat(F.transform("index", lambda k: F.struct(k.alias("key"), F.lit(0).alias("probe"))), F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(1).alias("probe"))))
-    rows = texts.where(F.col("words").isNotNull()).select("h1", "words", F.explode(tagged).alias("k")).where("k.key is not null")
-    rows = rows.select(F.col("k.key").alias("key"), F.col("k.probe").alias("probe"), "h1", "words")
+    rows = texts.where(F.col("words").isNotNull()).select("h1", "words", "length", F.explode(F.concat(tagged("index", 0), tagged("probe", 1))).alias("k"))
+    rows = rows.select(F.col("k.key").alias("key"), F.col("k.tag").alias("tag"), "h1", "words")
     # both sides are one exchange; the condition looks at both, so that it is not pushed below either
     left, right = rows.alias("l"), rows.alias("r")
-    role = F.col("l.probe") * 2 + F.col("r.probe")
+    role = F.col("l.tag") % 2 * 2 + F.col("r.tag") % 2
     pair = ((role == 0) & (F.col("l.h1") < F.col("r.h1"))) | ((role == 1) & (F.col("l.h1") != F.col("r.h1")))
-    alike = close(F.col("l.words"), F.col("r.words"), threshold)
+    one, two = F.shiftright("l.tag", 1), F.shiftright("r.tag", 1)
+    edits = allowed(F.least(one, two), threshold)
+    alike = (F.abs(one - two) <= edits) & close(F.col("l.words"), F.col("r.words"), edits)
     return left.join(right, (F.col("l.key") == F.col("r.key")) & pair & alike).select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct()
 
 
-def _linked(lines: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _linked(lines: DataFrame, pairs: DataFrame, threshold: int | None) -> DataFrame:
     """h1, h2 of the texts that are linked to an earlier one."""
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_HASHES else needed
@@ -159,13 +144,17 @@ def _linked(lines: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     one = texts.select(*(F.col(c).alias(f"a_{c}") for c in texts.columns))
     two = texts.select(*(F.col(c).alias(f"b_{c}") for c in texts.columns))
     met = pairs.join(one, F.col("a") == F.col("a_h1")).join(two, F.col("b") == F.col("b_h1"))
-    met = met.where(within(F.col("a_line"), F.col("b_line"), threshold))
+    edits = allowed(F.least(F.length("a_line"), F.length("b_line")), threshold) if threshold is None else None
+    met = met.where(within(F.col("a_line"), F.col("b_line"), most(threshold), edits))
     later = F.struct(F.col("a_first"), F.col("a_line")) > F.struct(F.col("b_first"), F.col("b_line"))
     return met.select(F.when(later, F.col("a_h1")).otherwise(F.col("b_h1")).alias("h1"), F.when(later, F.col("a_h2")).otherwise(F.col("b_h2")).alias("h2")).distinct()
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """df's columns, the text without the lines that go, and the struct line_dedup (n_lines, n_exact, n_near)."""
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int | None = None) -> DataFrame:
+    """df's columns, the text without the lines that go, and the struct line_dedup (n_lines, n_exact, n_near).
+
+    A threshold holds for all lengths; without one, EDITS do.
+    """
     lines = _lines(df, key, text)
     texts = materialize(_texts(lines, threshold))
     pairs = materialize(_candidates(texts, threshold))

@@ -137,3 +137,33 @@ def test_parity_rules_out_no_link(spark):
         pairs.append((a, rng.choice([a[:i] + " " + a[i:], a[:i] + a[i + 1 :], a[:i] + " " + a[i + 1 :], a[:i] + "z" + a[i + 1 :]])))
     df = spark.createDataFrame(pairs, "a string, b string")
     assert df.where(~line_dedup.close(line_dedup.word_parity(F.col("a")), line_dedup.word_parity(F.col("b")), 1)).count() == 0
+
+
+def allowed(length):
+    return next(t for below, t in line_dedup.EDITS if length < below)
+
+
+def test_several_edits_by_length(spark):
+    """Against all pairs, with lines on both sides of every border of EDITS and of classes."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefgh é", k=k)) for k in [*range(16, 80), 127, 128, 129, 143, 144, 145, 400] for _ in range(2)]
+    lines = []
+    for x in base:
+        for n in (0, 1, 2, 3, 4):
+            y = x
+            for _ in range(n):
+                i = rng.randrange(len(y) + 1)
+                y = rng.choice([y[:i] + "z" + y[i:], y[:i] + y[i + 1 :], y[:i] + "y" + y[i + 1 :]])
+            lines.append(y)
+    lines = list(dict.fromkeys(lines))
+    rng.shuffle(lines)
+    near = set()
+    long = [(i, x) for i, x in enumerate(lines) if len(x) >= line_dedup.NEAR_CHARS]
+    for n, (i, a) in enumerate(long):
+        for j, b in long[n + 1 :]:
+            edits = allowed(min(len(a), len(b)))
+            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+                near.add(j)
+    got = line_dedup.dedup(docs(spark, lines)).where("line_dedup.n_near > 0").collect()
+    assert {r.doc_id for r in got} == near
+    assert max(t for _, t in line_dedup.EDITS) > 1 and len(near) > 200
