@@ -145,12 +145,21 @@ def owner_scope(spark: SparkSession, d: str) -> DataFrame:
     return _picked(filters.scoped(orders(spark, d), "o_custkey", 11), {"o_totalprice": {"$gt": 100000}})
 
 
+def _prefixed(spark: SparkSession, d: str, where: Column) -> DataFrame:
+    """Keys of the collection orders, found by their prefix among the keys k of both tables that where holds for."""
+    mine = orders(spark, d).select(F.col("o_orderkey").alias("k")).where(where).select(keys.encode_key(F.lit("orders"), F.col("k").cast("string")).alias("key"))
+    others = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where(where).select(keys.encode_key(F.lit("customer"), F.col("k").cast("string")).alias("key"))
+    return mine.union(others).where(keys.in_collection(F.col("key"), "orders")).select(keys.to_hex(F.col("key")).alias("raw"))
+
+
 @entry("collection_prefix", "SELECT lower(hex('orders:' || o_orderkey)) AS raw FROM orders WHERE o_orderkey < 200")
 def collection_prefix(spark: SparkSession, d: str) -> DataFrame:
-    few = F.col("k") < 200
-    mine = orders(spark, d).select(F.col("o_orderkey").alias("k")).where(few).select(keys.encode_key(F.lit("orders"), F.col("k").cast("string")).alias("key"))
-    others = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where(few).select(keys.encode_key(F.lit("customer"), F.col("k").cast("string")).alias("key"))
-    return mine.union(others).where(keys.in_collection(F.col("key"), "orders")).select(keys.to_hex(F.col("key")).alias("raw"))
+    return _prefixed(spark, d, F.col("k") < 200)
+
+
+@entry("collection_prefix_all", "SELECT lower(hex('orders:' || o_orderkey)) AS raw FROM orders")
+def collection_prefix_all(spark: SparkSession, d: str) -> DataFrame:
+    return _prefixed(spark, d, F.lit(True))
 
 
 # --- sort, paging, projection ---
