@@ -26,6 +26,11 @@ def compare(left: Column, right: Column) -> Column:
     return F.when(ahead & behind, CONFLICT).when(ahead, AFTER).when(behind, BEFORE).otherwise(EQUAL)
 
 
+def conflict(left: Column, right: Column) -> Column:
+    """Whether either vector has a counter above the other's: compare() gives conflict."""
+    return compare(left, right) == CONFLICT
+
+
 def merge(left: Column, right: Column) -> Column:
     """The larger counter of each node."""
     return F.map_zip_with(F.coalesce(left, empty()), F.coalesce(right, empty()), lambda _, a, b: F.greatest(F.coalesce(a, b), F.coalesce(b, a)))

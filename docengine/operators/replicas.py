@@ -23,14 +23,17 @@ def newest(copies: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def siblings(copies: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Pairs of copies of one key whose vectors conflict: key, node_a, node_b. A key has as many copies as replicas."""
-    a, b = copies.alias("a"), copies.alias("b")
-    same = F.lit(True)
-    for k in key:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    met = a.join(b, same & (F.col("a.replica_pos") < F.col("b.replica_pos")))
-    found = met.where(versions.compare(F.col("a.version_vector"), F.col("b.version_vector")) == versions.CONFLICT)
-    return found.select(*(F.col(f"a.{k}").alias(k) for k in key), F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b"))
+    """Pairs of copies of one key whose vectors conflict: key, node_a, node_b.
+
+    A key's copies, as many as it has replicas, come together in one aggregate and are compared within the row. Vectors
+    that are the same need no comparison.
+    """
+    each = F.collect_list(F.struct("replica_pos", "node", "version_vector")).alias("_copies")
+    held = copies.groupBy(*key).agg(each).select(*key, F.array_sort("_copies", lambda a, b: a["replica_pos"] - b["replica_pos"]).alias("_copies"))
+    one = held.select(*key, F.posexplode("_copies").alias("_at", "_a"), "_copies")
+    two = one.select(*key, "_a", F.explode(F.slice("_copies", F.col("_at") + 2, F.size("_copies"))).alias("_b"))
+    found = two.where(versions.conflict(F.col("_a.version_vector"), F.col("_b.version_vector")))
+    return found.select(*key, F.col("_a.node").alias("node_a"), F.col("_b.node").alias("node_b"))
 
 
 def _live(replicas: Column, live: Sequence[str]) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from docengine.functions import keys, versions
 from docengine.operators import filters, modeling, oplog, query, replicas
 from docengine.operators.ring import Ring, balance, drops, migration_plan, missing_copies, primary
-from docengine.sources import tables
+from docengine.sources import scratch, tables
+from docengine.sources.database import Database
+from docengine.sources.settings import Settings
 from docengine.sources.tables import read_table
 from docengine.streaming import latest as streaming
 
@@ -60,11 +63,19 @@ _filter("filter_lte", {"o_orderkey": {"$lte": 50}}, "o_orderkey <= 50")
 _filter("filter_range", {"o_totalprice": {"$gte": 1000, "$lt": 5000}}, "o_totalprice >= 1000 AND o_totalprice < 5000")
 _filter("filter_conj", {"o_orderstatus": "F", "o_totalprice": {"$gt": 300000}, "o_custkey": {"$lte": 500}}, "o_orderstatus = 'F' AND o_totalprice > 300000 AND o_custkey <= 500")
 _filter("filter_class_mismatch", {"o_orderkey": {"$gt": "30"}}, "false")
-_filter("filter_null", {"o_orderstatus": None}, "o_orderstatus IS NULL")
 _filter("filter_missing_field", {"no_such_field": None, "o_custkey": 3}, "o_custkey = 3")
 _filter("filter_empty", {}, "true")
 _filter("filter_fraction_on_whole", {"o_custkey": {"$gt": 1.5, "$lte": 4.0}}, "o_custkey >= 2 AND o_custkey <= 4")
 
+_NULLED = "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders"
+
+
+@entry("filter_null", f"SELECT o_orderkey FROM ({_NULLED}) WHERE status IS NULL")
+def filter_null(spark: SparkSession, d: str) -> DataFrame:
+    docs = orders(spark, d).select("o_orderkey", F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderstatus")).alias("status"))
+    return _picked(docs, {"status": None}, ["o_orderkey"])
+
+
 #: Documents on which the comparison rules differ (fixed values).
 STRICT = ('{"x":30}', '{"x":"30"}', '{"x":30.0}', '{"x":29.5}', '{"x":true}', '{"x":1}', '{"x":0}', '{"x":null}', '{}', '{"x":[30]}', '{"x":{"a":30}}', '{"x":"abc"}', '{"x":1e30}', '{"x":[1,"a",null]}', '{"x":false}')
 NESTED = ('{"user":{"id":"u1"}}', '{"user.id":"u1"}', '{"user":{"id":"u2"}}', '{"user":"u1"}', '{"user":{"id":null}}', '{"user":{"name":"u1"},"user.id":"u2"}')
@@ -145,21 +156,12 @@ def owner_scope(spark: SparkSession, d: str) -> DataFrame:
     return _picked(filters.scoped(orders(spark, d), "o_custkey", 11), {"o_totalprice": {"$gt": 100000}})
 
 
-def _prefixed(spark: SparkSession, d: str, where: Column) -> DataFrame:
-    """Keys of the collection orders, found by their prefix among the keys k of both tables that where holds for."""
-    mine = orders(spark, d).select(F.col("o_orderkey").alias("k")).where(where).select(keys.encode_key(F.lit("orders"), F.col("k").cast("string")).alias("key"))
-    others = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where(where).select(keys.encode_key(F.lit("customer"), F.col("k").cast("string")).alias("key"))
-    return mine.union(others).where(keys.in_collection(F.col("key"), "orders")).select(keys.to_hex(F.col("key")).alias("raw"))
-
-
-@entry("collection_prefix", "SELECT lower(hex('orders:' || o_orderkey)) AS raw FROM orders WHERE o_orderkey < 200")
+@entry("collection_prefix", "SELECT lower(hex('orders:' || o_orderkey)) AS raw FROM orders")
 def collection_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _prefixed(spark, d, F.col("k") < 200)
-
-
-@entry("collection_prefix_all", "SELECT lower(hex('orders:' || o_orderkey)) AS raw FROM orders")
-def collection_prefix_all(spark: SparkSession, d: str) -> DataFrame:
-    return _prefixed(spark, d, F.lit(True))
+    """Keys of the collection orders, found by their prefix among all keys of two collections."""
+    mine = orders(spark, d).select(keys.encode_key(F.lit("orders"), F.col("o_orderkey").cast("string")).alias("key"))
+    others = read_table(spark, d, "customer").select(keys.encode_key(F.lit("customer"), F.col("c_custkey").cast("string")).alias("key"))
+    return mine.union(others).where(keys.in_collection(F.col("key"), "orders")).select(keys.to_hex(F.col("key")).alias("raw"))
 
 
 # --- sort, paging, projection ---
@@ -417,9 +419,13 @@ def ring_remove_node(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _moves(before, after) -> str:
-    return f"""WITH o AS ({_placement(before)}), n AS ({_placement(after)}),
-      s AS (SELECT k, arg_min(node, pos) AS source FROM o WHERE node IN ({', '.join(repr(x) for x in after)}) GROUP BY k)
-      SELECT n.k AS key, s.source, n.node AS target FROM n JOIN s ON n.k = s.k LEFT JOIN o ON n.k = o.k AND n.node = o.node WHERE o.node IS NULL"""
+    """Both placements as one list per key, so that the rest is work within the row."""
+    return f"""WITH o AS MATERIALIZED (SELECT k, list(node ORDER BY pos) AS old FROM ({_placement(before)}) GROUP BY k),
+      n AS MATERIALIZED (SELECT k, list(node ORDER BY pos) AS new FROM ({_placement(after)}) GROUP BY k)
+      SELECT key, source, target FROM (
+        SELECT n.k AS key, list_filter(old, lambda x: list_contains([{', '.join(repr(x) for x in after)}], x))[1] AS source,
+               unnest(list_filter(new, lambda x: NOT list_contains(old, x))) AS target
+        FROM n JOIN o ON n.k = o.k)"""
 
 
 @entry("migrate_add", _moves(FIVE.nodes, SIX.nodes))
@@ -501,10 +507,11 @@ def rating_stats(spark: SparkSession, d: str) -> DataFrame:
     return modeling.statistics(read_table(spark, d, "events"), ["event_type"], F.col("value"))
 
 
-@entry("time_range_stats", "SELECT user_id, count(value) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value) AS mean, min(value) AS low, max(value) AS high FROM events WHERE event_id >= 100 AND event_id < 900 GROUP BY user_id")
+@entry("time_range_stats", "SELECT user_id, count(value) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value) AS mean, min(value) AS low, max(value) AS high FROM events WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY user_id")
 def time_range_stats(spark: SparkSession, d: str) -> DataFrame:
     events = read_table(spark, d, "events")
-    return modeling.statistics(events.filter(filters.compile_filter({"event_id": {"$gte": 100, "$lt": 900}}, events.schema)), ["user_id"], F.col("value"))
+    span = {"ts": {"$gte": datetime.datetime(2024, 1, 2), "$lt": datetime.datetime(2024, 1, 20, 12)}}
+    return modeling.statistics(events.filter(filters.compile_filter(span, events.schema)), ["user_id"], F.col("value"))
 
 
 @entry("index_lookup", "SELECT p_partkey, p_brand FROM part WHERE p_size = 15")
@@ -517,7 +524,214 @@ def index_lookup(spark: SparkSession, d: str) -> DataFrame:
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     events = streaming.read_log(spark, path, spark.read.parquet(path).schema)
-    return streaming.drain(streaming.latest(events, ["user_id"], ["ts", "event_id"], "event_type"), f"latest_{uuid.uuid4().hex}")
+    return streaming.follow(streaming.latest(events, ["user_id"], ["ts", "event_id"], "event_type"), ["user_id"], scratch.folder(spark), scratch.folder(spark))
+
+
+# --- the database over its log ---
+
+
+def _database(spark: SparkSession, **options) -> Database:
+    return Database(spark, scratch.folder(spark), **options)
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.to_json(F.struct("c_name", "c_nationkey")).alias("data"))
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    return docs.select("id", F.try_variant_get("data", "$.c_name", "string").alias("c_name"), versions.as_text(F.col("version_vector")).alias("vector"))
+
+
+_PUT_TWICE = "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 = 0 THEN 'local=2' ELSE 'local=1' END AS vector FROM customer"
+
+
+def _put_twice(spark: SparkSession, d: str) -> Database:
+    db, docs = _database(spark), read_table(spark, d, "customer").where("c_custkey % 3 = 0")
+    db.put("customers", _customers(spark, d))
+    db.put("customers", docs.select(F.col("c_custkey").cast("string").alias("id"), F.to_json(F.struct(F.concat(F.lit("new "), "c_name").alias("c_name"))).alias("data")))
+    return db
+
+
+@entry("db_put", _PUT_TWICE)
+def db_put(spark: SparkSession, d: str) -> DataFrame:
+    return _held(_put_twice(spark, d).current("customers"))
+
+
+@entry("db_delete", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, 'local=1' AS vector FROM customer WHERE c_nationkey >= 10")
+def db_delete(spark: SparkSession, d: str) -> DataFrame:
+    db = _database(spark)
+    db.put("customers", _customers(spark, d))
+    db.delete("customers", read_table(spark, d, "customer").where("c_nationkey < 10").select(F.col("c_custkey").cast("string").alias("id")))
+    return _held(db.current("customers"))
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as envelopes of one collection per kind, older ones of the same key among them."""
+    vector = F.create_map(F.lit("n"), F.col("event_id"))
+    return read_table(spark, d, "events").select(F.col("event_type").alias("collection"), F.col("user_id").cast("string").alias("id"), F.parse_json(F.to_json(F.struct("event_id"))).alias("data"), vector.alias("version_vector"), F.col("event_id").cast("double").alias("timestamp"))
+
+
+_LAST_OF_KIND = "SELECT event_type AS collection, CAST(user_id AS VARCHAR) AS id, max(event_id) AS event_id FROM events GROUP BY event_type, user_id"
+
+
+def _event_of(docs: DataFrame) -> DataFrame:
+    return docs.select("collection", "id", F.try_variant_get("data", "$.event_id", "bigint").alias("event_id"))
+
+
+@entry("db_raw_put", _LAST_OF_KIND)
+def db_raw_put(spark: SparkSession, d: str) -> DataFrame:
+    """Two raw puts of many collections, the newer half of all envelopes first."""
+    db, rows = _database(spark), _envelopes(spark, d)
+    db.raw_put(rows.where("timestamp % 2 = 0"))
+    db.raw_put(rows.where("timestamp % 2 = 1"))
+    return _event_of(db.current())
+
+
+@entry("db_raw_keys", "SELECT DISTINCT lower(hex(event_type || ':' || user_id)) AS key FROM events")
+def db_raw_keys(spark: SparkSession, d: str) -> DataFrame:
+    db = _database(spark)
+    db.raw_put(_envelopes(spark, d))
+    return db.raw_keys()
+
+
+@entry("db_raw_get", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, 'local=1' AS vector FROM customer WHERE c_custkey = 7")
+def db_raw_get(spark: SparkSession, d: str) -> DataFrame:
+    db = _database(spark)
+    db.put("customers", _customers(spark, d))
+    return _held(db.raw_get(b"customers:7".hex()))
+
+
+@entry("db_collections", "SELECT DISTINCT event_type AS collection FROM events WHERE event_type <> 'view'")
+def db_collections(spark: SparkSession, d: str) -> DataFrame:
+    db = _database(spark)
+    db.raw_put(_envelopes(spark, d))
+    if "view" in db.collections():
+        db.drop("view")
+    return spark.createDataFrame([(c,) for c in db.collections()], "collection string")
+
+
+@entry("db_drop_all", "SELECT 0 AS n")
+def db_drop_all(spark: SparkSession, d: str) -> DataFrame:
+    db = _database(spark)
+    db.raw_put(_envelopes(spark, d))
+    db.drop_all()
+    return db.current().agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@entry("db_backup_restore", _PUT_TWICE)
+def db_backup_restore(spark: SparkSession, d: str) -> DataFrame:
+    db, target = _put_twice(spark, d), scratch.folder(spark)
+    db.backup(target)
+    db.drop_all()
+    db.restore(target)
+    return _held(db.current("customers"))
+
+
+@entry("db_compact_levels", f"SELECT *, 'L1' AS level FROM ({_LAST_OF_KIND})")
+def db_compact_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Four segments of level 0 are due and become one of level 1, with the same state."""
+    db, rows = _database(spark), _envelopes(spark, d)
+    for i in range(4):
+        db.raw_put(rows.where(F.col("timestamp") % 4 == i))
+    while db.compact():
+        pass
+    levels = {re.match(r"L\d+", s)[0] for s in db.segments()}
+    return _event_of(db.current()).withColumn("level", F.lit(",".join(sorted(levels))))
+
+
+def _three(spark: SparkSession, **options) -> Database:
+    nodes = tuple((f"node{i}", "localhost", 8080 + i) for i in (1, 2, 3, 4, 5))
+    return _database(spark, settings=Settings(nodes=nodes), **options)
+
+
+_CUSTOMER_PLACE = _placement(FIVE.nodes).replace("SELECT o_orderkey AS k, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders", "SELECT c_custkey AS k, md5(CAST(c_custkey AS VARCHAR)) AS h FROM customer")
+
+
+@entry("db_replicas", f"SELECT CAST(k AS VARCHAR) AS id, node, CAST(pos AS INTEGER) AS replica_pos FROM ({_CUSTOMER_PLACE})")
+def db_replicas(spark: SparkSession, d: str) -> DataFrame:
+    db = _three(spark)
+    db.put("customers", _customers(spark, d))
+    return db.copies("customers").select("id", "node", "replica_pos")
+
+
+_CUSTOMER_SIX = _placement(SIX.nodes).replace("SELECT o_orderkey AS k, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders", "SELECT c_custkey AS k, md5(CAST(c_custkey AS VARCHAR)) AS h FROM customer")
+
+
+@entry("db_add_node", f"SELECT CAST(k AS VARCHAR) AS id, node FROM ({_CUSTOMER_PLACE}) UNION SELECT CAST(k AS VARCHAR), node FROM ({_CUSTOMER_SIX})")
+def db_add_node(spark: SparkSession, d: str) -> DataFrame:
+    """All copies after a sixth node has joined: its own are pushed to it, the others stay."""
+    db = _three(spark)
+    db.put("customers", _customers(spark, d))
+    db.add_node("node6", "localhost", 8086)
+    return db.copies("customers").select("id", "node")
+
+
+@entry("db_remove_node", f"SELECT CAST(k AS VARCHAR) AS id, node FROM ({_CUSTOMER_PLACE}) WHERE node <> 'node2' UNION SELECT CAST(k AS VARCHAR), node FROM ({_CUSTOMER_PLACE.replace(_tokens(FIVE.nodes), _tokens(FIVE.remove('node2').nodes))})")
+def db_remove_node(spark: SparkSession, d: str) -> DataFrame:
+    """All copies after a node has left: what only it would have had of the new owners' is copied from the others."""
+    db = _three(spark)
+    db.put("customers", _customers(spark, d))
+    db.remove_node("node2")
+    return db.copies("customers").select("id", "node")
+
+
+@entry("db_quorum_get", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, CAST(3 AS BIGINT) AS replicas_read FROM customer WHERE c_custkey = 11")
+def db_quorum_get(spark: SparkSession, d: str) -> DataFrame:
+    db = _three(spark)
+    db.put("customers", _customers(spark, d))
+    return db.get("customers", "11").select("id", F.try_variant_get("data", "$.c_name", "string").alias("c_name"), "replicas_read")
+
+
+@entry("bloom_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 13")
+def bloom_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A point lookup in files that hold ranges of the key and a Bloom filter on it."""
+    path = scratch.folder(spark)
+    tables.write_sorted(orders(spark, d), path, "o_custkey", 8)
+    return spark.read.schema(orders(spark, d).schema).parquet(path).filter("o_custkey = 13").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@entry("range_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 300")
+def range_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of a range of keys over sorted files, of which the others are skipped by their statistics."""
+    path = scratch.folder(spark)
+    tables.write_sorted(orders(spark, d), path, "o_orderkey", 8)
+    kept = spark.read.schema(orders(spark, d).schema).parquet(path)
+    return kept.filter(filters.compile_filter({"o_orderkey": {"$gte": 100, "$lt": 300}}, kept.schema)).select("o_orderkey", "o_totalprice")
+
+
+def _refused(asked) -> str:
+    try:
+        asked()
+        return "taken"
+    except ValueError:
+        return "refused"
+
+
+@entry("page_negative", "SELECT * FROM (VALUES ('limit -1', 'refused'), ('offset -1', 'refused'), ('limit 0', 'taken'), ('offset 0', 'taken')) AS t(asked, answer)")
+def page_negative(spark: SparkSession, d: str) -> DataFrame:
+    cases = [("limit", -1), ("offset", -1), ("limit", 0), ("offset", 0)]
+    rows = [(f"{name} {n}", _refused(lambda name=name, n=n: query.run(orders(spark, d), {name: n}, "o_orderkey"))) for name, n in cases]
+    return spark.createDataFrame(rows, "asked string, answer string")
+
+
+@entry("ring_address", "SELECT 'node' || i AS node, 'http://localhost:' || 8080 + i AS address FROM range(1, 4) AS r(i)")
+def ring_address(spark: SparkSession, d: str) -> DataFrame:
+    config = {"cluster": {"replication_factor": 3}, "nodes": {f"node{i}": {"host": "localhost", "port": 8080 + i} for i in (1, 2, 3)}}
+    ring = Settings.of(config).ring()
+    return spark.createDataFrame([(n, ring.address(n)) for n in ring.nodes], "node string, address string")
+
+
+@entry("quorum_strong", "SELECT CAST(w AS INTEGER) AS w, CAST(r AS INTEGER) AS r, w + r > 3 AS strong FROM range(1, 4) AS a(w), range(1, 4) AS b(r)")
+def quorum_strong(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(w, r, versions.strong(w, r, 3)) for w in (1, 2, 3) for r in (1, 2, 3)], "w int, r int, strong boolean")
+
+
+@entry("settings_page", "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer ORDER BY id LIMIT 7 OFFSET 3")
+def settings_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the size that the settings name."""
+    db = _database(spark, settings=Settings(replication_factor=1, write_quorum=1, read_quorum=1, query_limit=7, query_offset=3))
+    db.put("customers", _customers(spark, d))
+    return db.query("customers", {}).select("id")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -20,16 +21,18 @@ def latest(ops: DataFrame, key: list[str], order: list[str], value: str) -> Data
     return ops.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result as a table in memory; for tests and small states."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    run = writer.start()
-    run.awaitTermination()
-    return stream.sparkSession.table(name)
+def follow(stream: DataFrame, key: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of latest() over what is there now and returns the state so far.
+
+    Each batch writes the keys that changed to a folder of its own, so a batch that runs again replaces what it wrote; the
+    state of a key is that of its last batch.
+    """
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def windowed_counts(events: DataFrame, time_col: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events per window and kind; rows that come later than late after the newest are dropped, and old windows leave the state."""
-    return events.withWatermark(time_col, late).groupBy(F.window(time_col, window), by).agg(F.count(F.lit(1)).alias("n"))
+    run = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    spark, rest = stream.sparkSession, [c for c in stream.columns if c not in key]
+    changes = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*key, "_last.*")

@@ -46,6 +46,6 @@ def test_entry(spark):
 
 
 def test_prefix_over_all_keys(spark, sf_dir):
-    raw = {r.raw for r in catalog.QUERIES["collection_prefix_all"](spark, sf_dir).collect()}
+    raw = {r.raw for r in catalog.QUERIES["collection_prefix"](spark, sf_dir).collect()}
     ids = [r.o_orderkey for r in catalog.orders(spark, sf_dir).select("o_orderkey").collect()]
     assert max(ids) >= 200 and raw == {f"orders:{i}".encode().hex() for i in ids}

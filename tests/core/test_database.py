@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,16 +73,121 @@ def test_batches_and_conditions(spark, db):
 def test_compaction_and_backup(spark, db, tmp_path):
     for i in range(4):
         db.put("c", docs(spark, a={"n": i}, **{f"x{i}": {"n": i}}))
-    db.delete("c", spark.createDataFrame([("x0",)], "id string"))
     before = seen(db.current("c"))
-    assert db.due("c")
-    db.compact("c")
-    assert not db.due("c") and len(db._segments("c")) == 1 and seen(db.current("c")) == before
+    assert db.due() and db.compact() and not db.due()
+    assert [s[:3] for s in db.segments()] == ["L1_"] and seen(db.current("c")) == before
+    db.delete("c", spark.createDataFrame([("x0",)], "id string"))
+    del before["x0"]
+    assert not db.compact() and seen(db.current("c")) == before
+    assert db.compact(whole=True) and len(db.segments()) == 1 and seen(db.current("c")) == before
+    assert db.log("c").where("op = 'delete'").count() == 0
     db.backup(str(tmp_path / "copy"))
     db.drop_all()
-    assert db.collections() == []
+    assert db.collections() == [] and not db.compact(whole=True)
     db.restore(str(tmp_path / "copy"))
     assert seen(db.current("c")) == before
+    db.put("c", docs(spark, a={"n": 9}))
+    assert db.one("c", "a").version_vector == {"local": 5}
+
+
+def test_compaction_in_the_background(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"), settings=Settings(replication_factor=1, write_quorum=1, read_quorum=1, compaction_seconds=1, l0_file_num_threshold=2))
+    for i in range(2):
+        db.put("c", docs(spark, a={"n": i}))
+    stop = db.keep_compacted()
+    for _ in range(60):
+        if len(db.segments()) == 1:
+            break
+        time.sleep(0.5)
+    stop.set()
+    assert len(db.segments()) == 1 and seen(db.current("c")) == {"a": {"n": 1}}
+
+
+def test_writes_are_whole_or_not_there(spark, db):
+    db.put("c", docs(spark, a={"n": 1}))
+    broken = docs(spark, b={"n": 2}).withColumn("data", F.when(F.col("id") == "b", F.raise_error(F.lit("lost"))).cast("string"))
+    with pytest.raises(Exception):
+        db.put("c", broken)
+    assert len(db.segments()) == 1 and seen(db.current("c")) == {"a": {"n": 1}}
+
+
+def test_rows_of_one_id(spark, db):
+    twice = spark.createDataFrame([("a", '{"n":1}'), ("a", '{"n":2}')], "id string, data string")
+    for _ in range(2):
+        db.put("c", twice)
+    assert seen(db.current("c")) == {"a": {"n": 2}} and db.log("c").count() == 2
+    numbers = [r.seq for r in db.log("c").select("seq").distinct().collect()]
+    assert len(numbers) == 2
+
+
+def test_equal_timestamps_go_by_the_order_of_writes(spark, db):
+    for n in (3, 1, 2):
+        db.put("c", docs(spark, a={"n": n}), timestamp=5.0)
+    assert seen(db.current("c")) == {"a": {"n": 2}}
+
+
+def test_raw_put_of_many_collections(spark, db):
+    n = 10_001
+    rows = spark.range(n).select(F.col("id").cast("string").alias("id"), F.format_string("c%05d", "id").alias("collection"), F.parse_json(F.lit("{}")).alias("data"), F.create_map(F.lit("x"), F.lit(1).cast("bigint")).alias("version_vector"), F.lit(1.0).alias("timestamp"))
+    db.raw_put(rows)
+    assert db.collections() == [f"c{i:05d}" for i in range(n)]
+    assert seen(db.get("c10000", "10000")) == {"10000": {}}
+    with pytest.raises(Exception, match="not a collection name"):
+        db.raw_put(rows.limit(1).withColumn("collection", F.lit("a:b")))
+
+
+def test_names_of_collections(spark, db):
+    for name in ("a/b", "100%", "007", "é ü"):
+        db.put(name, docs(spark, x={"n": name}))
+    assert db.collections() == sorted(["a/b", "100%", "007", "é ü"])
+    db.drop("a/b")
+    assert seen(db.current("007")) == {"x": {"n": "007"}} and "a/b" not in db.collections()
+
+
+def test_members(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"), settings=Settings(nodes=tuple((f"n{i}", "localhost", i) for i in range(4))))
+    many = docs(spark, **{f"k{i}": {"n": i} for i in range(40)})
+    db.put("c", many)
+
+    def held():
+        return {(r.id, r.node) for r in db.copies("c").select("id", "node").collect()}
+
+    def owned():
+        return {(f"k{i}", n) for i in range(40) for n in db.ring.replicas_of(f"k{i}")}
+
+    assert held() == owned() and db.one("c", "k3").replicas_read == 3
+    db.add_node("n9", "localhost", 9)
+    assert owned() <= held() and any(n == "n9" for _, n in owned())
+    db.remove_node("n1")
+    assert owned() <= held() and all(n != "n1" for _, n in held())
+    before = len(db.segments())
+    db.repair()
+    assert db.log().count() == db._read(db.segments()[:before]).count()
+
+
+def test_copies_that_differ(spark, tmp_path):
+    settings, path = Settings(nodes=tuple((f"n{i}", "localhost", i) for i in range(3))), str(tmp_path / "db")
+    whole = Database(spark, path, settings=settings)
+    whole.put("c", docs(spark, a={"n": 1}), timestamp=1.0)
+    two = whole.ring.replicas_of("a")[1:]
+    Database(spark, path, settings=settings, node=two[0], live=two).put("c", docs(spark, a={"n": 2}), timestamp=2.0)
+    lone = whole.ring.replicas_of("a")[:1]
+    Database(spark, path, settings=settings, node=lone[0], live=lone).put("c", docs(spark, a={"n": 3}), w=1, timestamp=1.5)
+    assert json.loads(whole.one("c", "a").data) == {"n": 2} and whole.one("c", "a").replicas_read == 3
+    vectors = {r.node: r.version_vector for r in whole.copies("c").collect()}
+    ahead = {n: {k for k in v if v[k] > vectors[lone[0]].get(k, 0)} for n, v in vectors.items()}
+    want = {(lone[0], n) for n in two if ahead[n] and any(v > vectors[n].get(k, 0) for k, v in vectors[lone[0]].items())}
+    assert {(r.node_a, r.node_b) for r in whole.conflicts("c").collect()} == want and want
+    whole.repair()
+    assert {r.timestamp for r in whole.copies("c").collect()} == {2.0} and whole.conflicts("c").count() == 0
+
+
+def test_writes_replay_only_what_they_touch(spark, db):
+    db.put("c", docs(spark, **{f"k{i}": {"n": i} for i in range(50)}))
+    known = db._known("c", docs(spark, k1={}, other={}))
+    assert [r.id for r in known.collect()] == ["k1"]
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi")
 
 
 def test_raw_put_keeps_the_newest(spark, db):
@@ -100,6 +206,8 @@ def test_quorum(spark, tmp_path):
         down.put("c", docs(spark, x={}), w=2)
     with pytest.raises(ValueError):
         down.put("c", docs(spark, x={}), w=4)
+    with pytest.raises(RuntimeError):
+        down.put("c", docs(spark, x={}))
     down.put("c", docs(spark, x={}), w=1)
     assert down.current("c").count() == 1 and down.get("c", "x", r=1).count() == 1
     with pytest.raises(RuntimeError):
@@ -115,6 +223,17 @@ def test_settings():
             Settings.of(bad)
 
 
+def test_settings_files(spark, tmp_path):
+    config = {"cluster": {"replication_factor": 3}, "nodes": {f"node{i}": {"host": "127.0.0.1", "port": 8080 + i, "data_dir": "./data"} for i in (1, 2, 3)}}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    (tmp_path / "c.yaml").write_text("cluster:\n  replication_factor: 3\nnodes:\n" + "".join(f"  node{i}:\n    host: 127.0.0.1\n    port: {8080 + i}\n" for i in (1, 2, 3)))
+    pytest.importorskip("yaml")
+    read = Settings.read(str(tmp_path / "c.json"))
+    assert read == Settings.read(str(tmp_path / "c.yaml")) == Settings.of(config)
+    db = Database(spark, str(tmp_path / "db"), settings=read)
+    assert db.ring.nodes == ("node1", "node2", "node3") and db.ring.address("node2") == "http://127.0.0.1:8082"
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "docs.jsonl"
     path.write_text('{"_id":"u1","age":30}\n\n{"_id":"u2","age":"30"}\nnot json\n')
