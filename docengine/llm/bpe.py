@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.llm.common import small_batches
+from docengine.llm.common import small
 
 #: Words up to so many bytes are merged with the rank array.
 SHORT = 64
@@ -168,14 +168,13 @@ def _shipped(spark: SparkSession, path: str):
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those of keep) and the token ids of the text."""
     spark = df.sparkSession
-    small_batches(spark)
     name, file = _shipped(spark, path)
     keep = [c for c in (df.columns if keep is None else keep) if c != ids]
     needed = list(dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(name, file.value)
-        for b in batches:
+        for b in small(batches):
             out = pa.array([bpe.encode(t) for t in b.column(needed.index(text)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), out], [*keep, ids])
 
@@ -186,14 +185,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those of keep) and the text that the token ids stand for (null: empty)."""
     spark = df.sparkSession
-    small_batches(spark)
     name, file = _shipped(spark, path)
     keep = [c for c in (df.columns if keep is None else keep) if c != text]
     needed = list(dict.fromkeys([*keep, ids]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(name, file.value)
-        for b in batches:
+        for b in small(batches):
             out = pa.array([bpe.decode(i or ()) for i in b.column(needed.index(ids)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), out], [*keep, text])
 
@@ -207,13 +205,12 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     Encodes and decodes in one pass over Arrow batches, so that the ids do not travel to the JVM and back.
     """
     spark = df.sparkSession
-    small_batches(spark)
     name, file = _shipped(spark, path)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(name, file.value)
-        for b in batches:
+        for b in small(batches):
             counts, id_sums, text_sums = [], [], []
             for t in b.column(1).to_pylist():
                 ids = bpe.encode(t)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docengine.llm.common import small_batches
+from docengine.llm.common import small
 
 MIN_MATCH, GAP, COVERED = 3, 12, 0.6
 #: Base phrases and their labels (fixed values).
@@ -186,7 +186,6 @@ _PLACE, _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64())]), pa.s
 
 def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those of keep) and n_words, license_base (label, start), license_spans (label, start, end, covered)."""
-    small_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in COLUMNS]
     needed = list(dict.fromkeys([*keep, text]))
     source = df.select(*(f"`{c}`" for c in needed))
@@ -194,7 +193,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _scanner:
             _scanner.append(Scanner())
-        for b in batches:
+        for b in small(batches):
             rows = [_scanner[0].scan(t.as_py()) for t in b.column(needed.index(text))]
             out = [
                 pa.array([r[0] for r in rows], pa.int64()),

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize, small_batches
+from docengine.llm.common import materialize, small
 
 SHINGLE, NUMERATOR = 5, 75
 #: Shingles that are last in the order: at most HEAVY, each counted LOCAL times or more in some part of a task's input.
@@ -136,7 +136,7 @@ def _described(docs: DataFrame) -> DataFrame:
             none = pa.nulls(int(often.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(_signed(hashes[often])), pa.array(counts[often].astype(np.int64))], names)
 
-        for b in batches:
+        for b in small(batches):
             sizes, nodes = [], np.zeros(b.num_rows, np.uint64)
             for i, text in enumerate(b.column(2).to_pylist()):
                 found = shingles(text)
@@ -189,7 +189,7 @@ def _prefixes(docs: DataFrame, heavy, bits: int) -> DataFrame:
                 fragment[hot] = offset[at[hot]] + turn.astype(np.int32)
             return _packed(fragment, rows, ("fragment", "entries"))
 
-        for b in batches:
+        for b in small(batches):
             for text in b.column(0).to_pylist():
                 found = shingles(text)
                 n = len(found)
@@ -411,7 +411,7 @@ def _parts(docs: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-        for b in batches:
+        for b in small(batches):
             out: tuple[list, list, list, list] = ([], [], [], [])
             for node, text, cells in zip(*(b.column(i).to_pylist() for i in range(3))):
                 found = shingles(text)
@@ -526,7 +526,6 @@ def _frequent(spark: SparkSession, described: DataFrame, bits: int, split: int):
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: int = ALL_PAIRS, split: int = SPLIT) -> DataFrame:
     """Per row of df: doc (the id), same (a hash of the text), size (of the set), component (smallest id reachable by links, its own included)."""
     spark = df.sparkSession
-    small_batches(spark)
     own, last = F.col(f"`{text}`"), F.lit((1 << 63) - 1)
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), last).alias("doc"), F.xxhash64(own).alias("same"), own.alias("text"))
     described = materialize(_described(docs))

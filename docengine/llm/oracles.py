@@ -66,20 +66,23 @@ def _op3() -> str:
     allowed = " OR ".join(f"regexp_matches(m, '{p}')" for p in s.ALLOWED)
     assign = s.ASSIGN.replace("'", "''")
     wide = "[A-Za-z0-9+/_=-]{%d,}" % s.WINDOW
+    blanked = "m"
+    for part in s.ALLOWED_PARTS:
+        blanked = f"replace({blanked}, '{part}', '{' ' * len(part)}')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {_spans("a", s.ASSIGN, "assign", 0, f"len(regexp_extract($m, '{assign}', 2)) >= 6")},
 {_spans("k", "AKIA[A-Z0-9]+", "access", 1, "len($m) >= 20")},
 {_spans("h", "[0-9a-f]+", "hex", 2, "len($m) >= 24")},
-{_spans("c", wide, "entropy", 3, "regexp_matches($m, '[0-9]')")},
+{_spans("c", wide, "entropy", 3, "(regexp_matches($m, '[0-9]') OR (regexp_matches($m, '[a-z]') AND regexp_matches($m, '[A-Z]')))")},
 w AS (
-  SELECT doc_id, start, m, unnest(range(0, len(m) - {s.WINDOW} + 1)) AS i,
+  SELECT doc_id, start, {blanked} AS m, unnest(range(0, len(m) - {s.WINDOW} + 1)) AS i,
          CASE WHEN regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') THEN {s.limit(s.HEX_BITS)} ELSE {s.limit(s.WIDE_BITS)} END AS most
   FROM c WHERE NOT ({allowed})
 ), x AS (
   SELECT doc_id, start, i, most, substr(m, CAST(i + 1 AS BIGINT), {s.WINDOW}) AS v FROM w
 ), y AS (
-  SELECT doc_id, start, i FROM x WHERE list_sum(list_transform(list_distinct(string_split(v, '')), lambda q: {f}[{s.WINDOW} - len(replace(v, q, ''))])) <= most
+  SELECT doc_id, start, i FROM x WHERE NOT contains(v, ' ') AND list_sum(list_transform(list_distinct(string_split(v, '')), lambda q: {f}[{s.WINDOW} - len(replace(v, q, ''))])) <= most
 ), e AS (
   SELECT doc_id, CAST(start + min(i) AS INTEGER) AS start, 3 AS rank, 'entropy' AS kind, CAST(start + max(i) + {s.WINDOW} AS INTEGER) AS stop FROM y GROUP BY doc_id, start
 ), b AS (

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from docengine.llm.common import small_batches
+from docengine.llm.common import small
 
 CHUNK, LEVEL, MAX_CHUNKS = 4096, 3, 0.25
 #: Bytes below which a row holds, lowest and highest ratio. The shorter the text, the less a compressor finds in it. The
@@ -115,7 +115,6 @@ def measure(text: str | None, pack) -> tuple:
 
 def assess(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those of keep) and COLUMNS."""
-    small_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in COLUMNS]
     needed = list(dict.fromkeys([*keep, text]))
     source = df.select(*(f"`{c}`" for c in needed))
@@ -123,7 +122,7 @@ def assess(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL).compress
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-        for b in batches:
+        for b in small(batches):
             rows = [measure(t.as_py(), pack) for t in b.column(needed.index(text))]
             out = [pa.array(list(x), k) for x, k in zip(zip(*rows) if rows else [()] * 9, kinds)]
             yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), *out], [*keep, *COLUMNS])

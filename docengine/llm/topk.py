@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize, small_batches
+from docengine.llm.common import materialize, small
 
 PIVOTS, SCALE = 32, 64
 #: Rows in a block of queries and of candidates: at least, and at most.
@@ -49,7 +49,7 @@ def _prepared(table: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
     """id, is_query and the packed vector with its squared length and its distances to the pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             x = np.zeros((b.num_rows, width), np.float64)
             for i, v in enumerate(b.column(2).to_pylist()):
                 x[i, : len(v)] = v
@@ -158,7 +158,6 @@ def blocks(rows: int, size: tuple[int, int], parts: int) -> int:
 
 def search(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), id, score: the k highest inner products of each query with the other rows' vectors."""
-    small_batches(df.sparkSession)
     table = df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), quantized(F.col(vector)).alias("v"))
     table = table.groupBy("id").agg(F.max("is_query").alias("is_query"), F.min("v").alias("v"))
     rows, queries, width = table.agg(F.count(F.lit(1)), F.count_if("is_query"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()

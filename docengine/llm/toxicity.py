@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import small_batches
+from docengine.llm.common import small
 
 FIT_ROWS, EXAMPLES, TERMS, MIN_DOCS, MIN_CHI, LIFT = 6000, 1500, 20_000, 4, 30.0, 4
 #: Lengths of word beginnings that are terms.
@@ -166,7 +166,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     """Per term: in how many documents of each class it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found[y].update({t for w in set(tokens(text)) for t in terms_of(w)})
@@ -178,7 +178,6 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, examples: int = EXAMPLES) -> Index | None:
     """The index of a bounded sample of the labelled rows; None if there are none."""
-    small_batches(docs.sparkSession)
     sample, stands = _sample(docs, labels, key, text, label, rows, min(rows, examples))
     if not stands:
         return None
@@ -199,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pickle.loads(shipped.value)
-        for b in batches:
+        for b in small(batches):
             found = [index.vector(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], ["key", "label", "terms", "weights"])
 
@@ -221,7 +220,6 @@ _loaded: dict[str, Index | None] = {}
 def score(df: DataFrame, index: Index | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those of keep) and score (0 to 1) and evidence: the neighbours' ids, labels and cosines."""
     spark = df.sparkSession
-    small_batches(spark)
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "evidence")]
     needed = list(dict.fromkeys([*keep, text]))
     source = df.select(*(f"`{c}`" for c in needed))
@@ -234,7 +232,7 @@ def score(df: DataFrame, index: Index | None, text: str = "text", keep: list[str
             _loaded.clear()
             _loaded[name] = pickle.loads(shipped.value)
         own = _loaded[name]
-        for b in batches:
+        for b in small(batches):
             rows = [own.score(t) if own else (0.0, []) for t in b.column(needed.index(text)).to_pylist()]
             evidence = [[{"id": own.keys[e], "toxic": own.toxic[e], "cosine": c} for c, e in near] for _, near in rows]
             yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), pa.array([r[0] for r in rows], pa.float64()), pa.array(evidence, kind)], [*keep, "score", "evidence"])

@@ -24,4 +24,21 @@ def test_materialize(spark):
     again = common.materialize(df)
     assert again.schema.simpleString() == df.schema.simpleString() and again.collect() == df.collect()
     assert common.materialize(df.limit(0)).count() == 0
-    assert common.shared_dir(spark)
+
+
+def test_running_sums(spark):
+    import random
+
+    rng = random.Random(2)
+    lists = [[], [5], list(range(255)), list(range(256)), list(range(257)), [rng.randrange(9) for _ in range(5000)], [1] * 70_000]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>")
+    for r in df.where("size(x) > 0").select("i", common.running_sums(F.col("x")).alias("s")).collect():
+        total, want = 0, []
+        for x in lists[r.i]:
+            total += x
+            want.append(total)
+        assert r.s == want
+
+
+def test_free_names(spark):
+    assert common.free(spark.createDataFrame([(1, 2)], "_A long, b long"), "_a", "_a", "c") == ["_a_", "_a__", "c"]

@@ -24,10 +24,11 @@ def entropy(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
         s = m[0]
-        if not re.search("[0-9]", s) or any(re.search(p, s) for p in secrets.ALLOWED):
+        if not (re.search("[0-9]", s) or (re.search("[a-z]", s) and re.search("[A-Z]", s))) or any(re.search(p, s) for p in secrets.ALLOWED):
             continue
+        touched = {i for p in secrets.ALLOWED_PARTS for p_ in re.finditer(p, s) for i in range(*p_.span())}
         bits = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else 3.7
-        hits = [i for i in range(len(s) - 19) if -sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) >= bits - 1e-5]
+        hits = [i for i in range(len(s) - 19) if not touched & set(range(i, i + 20)) and -sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) >= bits - 1e-5]
         if hits:
             out.append((m.start() + hits[0], 3, "entropy", m.start() + hits[-1] + 20))
     return out
@@ -73,3 +74,25 @@ def test_long_candidate_and_edges(spark):
     assert out.where("text is null").first().secret_spans == []
     assert secrets.scan(docs(spark, [])).count() == 0
     assert secrets.scan(df.withColumnRenamed("size", "secret_base")).columns.count("secret_base") == 1
+
+
+def found(spark, *texts):
+    return [r.spans for r in secrets.summary(secrets.scan(docs(spark, list(texts)))).orderBy("doc_id").collect()]
+
+
+def test_allow_list(spark):
+    random_letters, mixed = "xKqZwVbTnRjLmPsDfGhY7", "qZxWvKjTbRnLmPsDfGhYcA"
+    part = "abcdefghijklmnop" + "qT7x0ZbP4mWk9Lr2VsYcH3nD"
+    got = found(spark, random_letters, mixed, part, "getDocumentElementByName2", "some-long-name_of_a_thing-12", "MY_LONG_CONSTANT_NAME_7", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAa1")
+    assert got[0] and got[1] and got[3:] == ["", "", "", ""]
+    assert got[2] == f"entropy:16:{len(part)}"
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    text = "token=abcdef1 " * 100_000
+    found(spark, "token=abcdef1 ")
+    began = time.perf_counter()
+    got = found(spark, text)[0]
+    assert time.perf_counter() - began < 40 and got.count("assign") == 100_000 and got.endswith(f"{14 * 99_999}:{14 * 99_999 + 13}")
