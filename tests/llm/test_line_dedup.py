@@ -12,30 +12,38 @@ from docengine.llm.queries import op10_line_dedup
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 
-def distance(a, b):
+def distance(a, b, enough=1 << 30):
+    """The edit distance; some number above enough if it is above that."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > enough:
+            return min(row)
     return row[-1]
 
 
-def plain(rows, threshold=1):
+def allowed(length):
+    return next(t for below, t in line_dedup.EDITS if length < below)
+
+
+def plain(rows, threshold=None):
     """(n_lines, n_exact, n_near, text) by row, from all pairs of texts."""
     first = {}
     for key, text in rows:
         for line in (text or "").split("\n"):
             if WORD.search(line):
                 first[line] = min(first.get(line, 1 << 63), key)
-    long = sorted((x for x in first if len(x) >= line_dedup.NEAR_CHARS), key=len)
-    near = set()
-    for i, a in enumerate(long):
-        for b in long[i + 1 :]:
-            if len(b) - len(a) > threshold:
-                break
-            if distance(a, b) <= threshold:
-                near.add(max((first[a], a.encode(), a), (first[b], b.encode(), b))[2])
+    order = sorted(first, key=lambda x: (first[x], x.encode()))
+    kept, near = {}, set()
+    for x in order:
+        by = [y for n in range(len(x) - 3, len(x) + 4) for y in kept.get(n, ())]
+        edits = lambda y: allowed(min(len(x), len(y))) if threshold is None else threshold
+        if any(abs(len(x) - len(y)) <= edits(y) and edits(y) and distance(x, y, edits(y)) <= edits(y) for y in by):
+            near.add(x)
+        else:
+            kept.setdefault(len(x), []).append(x)
     out = []
     for key, text in rows:
         kept, seen, n, exact, close = [], set(), 0, 0, 0
@@ -139,14 +147,10 @@ def test_parity_rules_out_no_link(spark):
     assert df.where(~line_dedup.close(line_dedup.word_parity(F.col("a")), line_dedup.word_parity(F.col("b")), 1)).count() == 0
 
 
-def allowed(length):
-    return next(t for below, t in line_dedup.EDITS if length < below)
-
-
 def test_several_edits_by_length(spark):
     """Against all pairs, with lines on both sides of every border of EDITS and of classes."""
     rng = random.Random(11)
-    base = ["".join(rng.choices("abcdefgh é", k=k)) for k in [*range(16, 80), 127, 128, 129, 143, 144, 145, 400] for _ in range(2)]
+    base = ["".join(rng.choices("abcdefgh é", k=k)) for k in [*range(5, 80), 127, 128, 129, 143, 144, 145, 400] for _ in range(2)]
     lines = []
     for x in base:
         for n in (0, 1, 2, 3, 4):
@@ -157,13 +161,28 @@ def test_several_edits_by_length(spark):
             lines.append(y)
     lines = list(dict.fromkeys(lines))
     rng.shuffle(lines)
-    near = set()
-    long = [(i, x) for i, x in enumerate(lines) if len(x) >= line_dedup.NEAR_CHARS]
-    for n, (i, a) in enumerate(long):
-        for j, b in long[n + 1 :]:
-            edits = allowed(min(len(a), len(b)))
-            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
-                near.add(j)
+    near = {i for i, w in enumerate(plain(list(enumerate(lines)))) if w[2]}
     got = line_dedup.dedup(docs(spark, lines)).where("line_dedup.n_near > 0").collect()
     assert {r.doc_id for r in got} == near
     assert max(t for _, t in line_dedup.EDITS) > 1 and len(near) > 200
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_short_lines(spark, threshold):
+    """Lines of up to a dozen characters go through the same join."""
+    rng = random.Random(threshold)
+    lines = list(dict.fromkeys("".join(rng.choices("abc", k=rng.randrange(1, 13))) for _ in range(300)))
+    got = line_dedup.dedup(docs(spark, lines), threshold=threshold).orderBy("doc_id").collect()
+    assert [(r.line_dedup.n_near, r.text) for r in got] == [(w[2], w[3]) for w in plain(list(enumerate(lines)), threshold)]
+
+
+def test_what_goes_is_near_to_what_stays(spark):
+    lines = ["section 1 of the agreement a", "section 2 of the agreement a", "section 2 of the agreement b", "section 3 of the agreement b", "section 3 of the agreement c"]
+    got = line_dedup.dedup(docs(spark, lines), threshold=1).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [lines[0], "", lines[2], "", lines[4]]
+
+
+def test_names_that_clash(spark):
+    df = docs(spark, ["one line", "one line"]).withColumnsRenamed({"lang": "doc_", "source": "_ld_doc", "n_chars": "hash"})
+    out = line_dedup.dedup(df.withColumn("Gone", F.lit(1)).withColumn("least", F.lit(2)))
+    assert sorted(r.text for r in out.collect()) == ["", "one line"]
