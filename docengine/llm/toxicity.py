@@ -1,19 +1,23 @@
 """Toxicity by nearest labelled examples.
 
 Fitting takes a sample of the labelled rows of at most FIT_ROWS per class in expectation (every row whose hash lies
-below the share that this allows), counts in how many sampled documents of each class each word and each word beginning
-occurs, and keeps the TERMS terms that speak most for the toxic class (chi-square of at least MIN_CHI, in MIN_DOCS
-documents or more, and LIFT times as frequent in toxic documents as in others). The TF-IDF vectors of the sample's first EXAMPLES per class, by the same hash, go into an inverted
-index whose postings are grouped by blocks of BLOCK examples, each term with its largest weight per block. A document's nearest examples by exact cosine are
-found block by block: the sum of the largest weights bounds every cosine in a block, blocks are taken in order of that
-bound, and the search stops when the bound falls below the K-th best cosine. The neighbours vote with weights that fall
-with distance, scaled back to the classes' true sizes; the votes are mapped to probabilities that were measured by
-leaving each sampled example out of its own neighbourhood. The neighbours are returned as evidence.
+below the share that this allows) and counts in how many sampled documents of each class each word occurs. All words of
+MIN_DOCS sampled documents or more are terms (the TERMS most telling ones, if they are more). A term weighs (1 + log tf) *
+idf * emphasis; the emphasis is small for a word that both classes use alike and grows with the correlation between the
+word and the label, as far as that is above its noise. So ordinary words remain features, and the few telling ones lead.
+The vectors of the sample's first EXAMPLES per class, by the same hash, clean and toxic ones, go into an inverted index
+whose postings are grouped by blocks of BLOCK examples, each term with its largest weight per block. A document's nearest
+examples by exact cosine are found block by block: the sum of the largest weights bounds every cosine in a block, blocks
+are taken in order of that bound, a few and then more at a time, and those whose bound falls below the K-th best cosine are
+not read. The neighbours vote with weights that fall with distance, scaled back to the classes' true sizes; the votes are
+mapped to probabilities that were measured by leaving each sampled example out of its own neighbourhood. The neighbours are
+returned as evidence.
 
 Documents without any of the terms, null and empty texts among them, get the toxic share of such documents in the
 sample. Texts are taken whole. Rows stand alone; ties among neighbours go to the example that comes first. Labels with a
-null, and labels without documents, are left out of the fit. Without usable labels every score is 0. The index is bounded
-by EXAMPLES and TERMS, whatever the corpus; it goes to every worker.
+null, and labels without documents, are left out of the fit; a document that is labelled twice counts twice. Without usable
+labels every score is 0. The index is bounded by EXAMPLES and TERMS, whatever the corpus; it goes to every worker.
+Additional columns travel along, but for columns named score and evidence, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import small
+from docengine.llm.common import BROADCAST_ROWS, small
 
-FIT_ROWS, EXAMPLES, TERMS, MIN_DOCS, MIN_CHI, LIFT = 6000, 1500, 20_000, 4, 30.0, 4
-#: Lengths of word beginnings that are terms.
-PREFIXES = (4, 5, 6, 7, 8)
+FIT_ROWS, EXAMPLES, TERMS, MIN_DOCS = 6000, 1500, 200_000, 2
+#: How many standard errors of a correlation count as noise, and the emphasis of a word that tells nothing, as a share of that.
+NOISE, FLOOR = 3.0, 0.1
+#: Blocks that are read before the bounds are looked at again.
+FIRST_BLOCKS = 4
 K, BLOCK, BINS, THRESHOLD = 25, 64, 12, 0.3
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -43,72 +49,90 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def terms_of(word: str) -> Iterator[str]:
-    """The word, marked by a trailing blank, and its beginnings."""
-    yield word + " "
-    for n in PREFIXES:
-        if len(word) >= n:
-            yield word[:n]
+def emphasis(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
+    """The correlation (phi) between a word and the toxic class beyond its noise, and FLOOR of the noise, from counts of documents."""
+    total, having = all_toxic + all_clean, toxic + clean
+    spread = having * (total - having) * all_toxic * all_clean
+    phi = abs(toxic * all_clean - clean * all_toxic) / math.sqrt(spread) if spread else 0.0
+    noise = NOISE / math.sqrt(total)
+    return FLOOR * noise + max(0.0, phi - noise)
+
+
+def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for lengths[0] numbers, then those of starts[1], and so on."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class Index:
-    """Terms with their IDF, examples, and block-max postings."""
+    """Terms with their weights, examples, and block-max postings."""
 
-    def __init__(self, terms: dict[str, float], examples: list[tuple[dict[str, float], int, int]], weights: dict[int, float], empty: float):
+    def __init__(self, terms: dict[str, float], examples: list[tuple[dict[int, float], int, int]], weights: dict[int, float], empty: float):
+        """terms: IDF times emphasis; examples: (vector, label, key), in the order of blocks."""
         self.ids = {t: i for i, t in enumerate(sorted(terms))}
         self.idf = [terms[t] for t in sorted(terms)]
-        self.starts = {t[:PREFIXES[0]] for t in terms}
-        self.short = {t for t in terms if t.endswith(" ") and len(t) <= PREFIXES[0]}
         self.empty, self.weights = empty, weights
         self.keys = [k for _, _, k in examples]
         self.toxic = [y for _, y, _ in examples]
         self.blocks = (len(examples) + BLOCK - 1) // BLOCK
-        #: term -> block -> (largest weight, examples, weights)
-        self.postings: dict[int, dict[int, tuple[float, list[int], list[float]]]] = {}
-        for e, (vector, _, _) in enumerate(examples):
-            for t, w in vector.items():
-                block = self.postings.setdefault(t, {}).setdefault(e // BLOCK, (0.0, [], []))
-                block[1].append(e)
-                block[2].append(w)
-                if w > block[0]:
-                    self.postings[t][e // BLOCK] = (w, block[1], block[2])
+        rows = [(t, e, w) for e, (vector, _, _) in enumerate(examples) for t, w in vector.items()]
+        term, self.example = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+        self.weight = np.array([r[2] for r in rows], np.float64)
+        order = np.lexsort((self.example, term))
+        term, self.example, self.weight = term[order], self.example[order], self.weight[order]
+        # a cell is a term in a block: its largest weight, and where its postings start
+        block = self.example // BLOCK
+        starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.cell_start = np.r_[starts, len(term)]
+        self.cell_block = block[starts]
+        self.cell_most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.term_start = np.searchsorted(term[starts], np.arange(len(terms) + 1))
         self.bins: list[tuple[float, float]] = []
+        self.read = 0
 
     def vector(self, text: str | None) -> dict[int, float]:
-        """The unit TF-IDF vector; empty without terms."""
-        found: dict[int, int] = {}
-        ids, starts, short = self.ids, self.starts, self.short
+        """The unit vector; empty without terms."""
+        ids, idf, raw = self.ids, self.idf, {}
         for word, n in Counter(tokens(text)).items():
-            if word[:4] in starts or word + " " in short:
-                for t in terms_of(word):
-                    i = ids.get(t)
-                    if i is not None:
-                        found[i] = found.get(i, 0) + n
-        raw = {i: (1 + math.log(n)) * self.idf[i] for i, n in found.items()}
+            i = ids.get(word)
+            if i is not None:
+                raw[i] = (1 + math.log(n)) * idf[i] if n > 1 else idf[i]
         size = math.sqrt(sum(w * w for w in raw.values()))
         return {i: w / size for i, w in raw.items()} if size else {}
 
     def nearest(self, vector: dict[int, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a positive cosine, highest first, ties by example."""
-        bound: dict[int, float] = {}
-        for t, q in vector.items():
-            for block, (most, _, _) in self.postings.get(t, {}).items():
-                bound[block] = bound.get(block, 0.0) + q * most
+        terms, q = np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+        first = self.term_start[terms]
+        counts = self.term_start[terms + 1] - first
+        cells, of = _gathered(first, counts), np.repeat(q, counts)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, of * self.cell_most[cells], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for block, most in sorted(bound.items(), key=lambda x: (-x[1], x[0])):
-            if len(best) == k and most < -best[-1][0] - 1e-12:
-                break
-            cos: dict[int, float] = {}
-            for t, q in vector.items():
-                part = self.postings.get(t, {}).get(block)
-                if part:
-                    for e, w in zip(part[1], part[2]):
-                        cos[e] = cos.get(e, 0.0) + q * w
-            cos.pop(without, None)
-            last = best[-1] if len(best) == k else (1.0, 0)
-            better = [(-c, e) for e, c in cos.items() if (-c, e) < last]
-            if better:
-                best = sorted([*best, *better])[:k]
+        at, step = 0, FIRST_BLOCKS
+        while at < len(order):
+            part = order[at : at + step]
+            if len(best) == k:
+                part = part[bound[part] >= -best[-1][0] - 1e-12]
+                if not len(part):
+                    break
+            at, step = at + step, step * 4
+            self.read += len(part)
+            wanted = np.zeros(self.blocks, bool)
+            wanted[part] = True
+            hit = wanted[block]
+            start = self.cell_start[cells[hit]]
+            sizes = self.cell_start[cells[hit] + 1] - start
+            places = _gathered(start, sizes)
+            cos = np.bincount(self.example[places], self.weight[places] * np.repeat(of[hit], sizes), minlength=len(self.keys))
+            if without >= 0:
+                cos[without] = 0.0
+            there = np.flatnonzero(cos > 0)
+            if len(there) > k:
+                there = there[cos[there] >= np.partition(cos[there], len(there) - k)[len(there) - k]]
+            best = sorted([*best, *zip((-cos[there]).tolist(), there.tolist())])[:k]
         return [(min(-c, 1.0), e) for c, e in best]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -148,18 +172,19 @@ class Index:
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, examples: int) -> tuple[DataFrame, dict[int, float]]:
     """Key, text, label of the sample and whether a row is an example, and how many labelled rows of each class one example stands for."""
-    usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
-    counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
+    usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     share = {y: min(1.0, rows / n) for y, n in counts.items() if n}
-    unit = F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    unit = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     shown = {y: min(1.0, examples / counts[y]) for y in share}
     taken = example = F.lit(False)
     for y, s in share.items():
-        taken = taken | ((F.col("_label") == y) & (unit < s))
-        example = example | ((F.col("_label") == y) & (unit < shown[y]))
-    # rows of the sample, of which there are 2 * FIT_ROWS in expectation: small enough to be sent to every executor
-    few = F.broadcast(usable.where(taken).withColumn("_example", example))
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(few, "_key"), {y: 1 / s for y, s in shown.items()}
+        taken = taken | ((F.col("label") == y) & (unit < s))
+        example = example | ((F.col("label") == y) & (unit < shown[y]))
+    few = usable.where(taken).withColumn("example", example)
+    # 2 * FIT_ROWS rows in expectation, but a document may be labelled often: counted before it is sent to every executor
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(few, "key"), {y: 1 / s for y, s in shown.items()}
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -168,12 +193,12 @@ def _counted(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             found: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                found[y].update({t for w in set(tokens(text)) for t in terms_of(w)})
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found[y].update(set(tokens(text)))
             both = list(found[1].keys() | found[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([found[0][t] for t in both], pa.int64()), pa.array([found[1][t] for t in both], pa.int64())], ["term", "clean", "toxic"])
 
-    return sample.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return sample.select("text", "label").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, examples: int = EXAMPLES) -> Index | None:
@@ -181,17 +206,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample, stands = _sample(docs, labels, key, text, label, rows, min(rows, examples))
     if not stands:
         return None
-    sizes = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not sizes:
         return None
-    clean, toxic = F.lit(float(sizes.get(0, 0))), F.lit(float(sizes.get(1, 0)))
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    c, d = toxic - a, clean - b
-    chi = (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0))
-    told = _counted(sample).where((F.col("toxic") + F.col("clean")) >= MIN_DOCS).withColumn("chi", chi)
-    told = told.where((F.col("chi") >= MIN_CHI) & (a * clean >= b * toxic * LIFT)).orderBy(F.col("chi").desc(), "term").limit(TERMS)
-    total = sum(sizes.values())
-    terms = {r.term: math.log((total + 1) / (r.toxic + r.clean + 1)) + 1 for r in told.collect()}  # at most TERMS rows
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    gap = F.abs(F.col("toxic") * F.lit(float(clean)) - F.col("clean") * F.lit(float(toxic)))
+    told = _counted(sample).where((F.col("toxic") + F.col("clean")) >= MIN_DOCS).orderBy((gap / F.sqrt(F.col("toxic") + F.col("clean"))).desc(), "term").limit(TERMS)
+    total = clean + toxic
+    # at most TERMS rows, of words that the bounded sample has
+    terms = {r.term: (math.log((total + 1) / (r.toxic + r.clean + 1)) + 1) * emphasis(r.toxic, r.clean, toxic, clean) for r in told.collect()}
 
     draft = Index(terms, [], {}, 0.0)
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(draft))
@@ -200,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         index = pickle.loads(shipped.value)
         for b in small(batches):
             found = [index.vector(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], ["key", "label", "terms", "weights"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], ["key", "label", "terms", "weights"])
 
-    found = sample.where("_example").mapInArrow(vectors, "key long, label int, terms array<int>, weights array<double>").collect()  # the bounded sample
+    found = sample.where("example").select("key", "text", "label").mapInArrow(vectors, "key long, label int, terms array<int>, weights array<double>").collect()  # the bounded sample
     found.sort(key=lambda r: (r.key, r.label))
     silent = Counter(r.label for r in found if not r.terms)
     weigh = sum(n * stands[y] for y, n in silent.items())

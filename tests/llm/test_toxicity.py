@@ -2,6 +2,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.helpers import docs, edge_docs
@@ -31,21 +32,53 @@ def fitted(spark):
     return texts, labels, df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
 
 
+def dense(index):
+    """The examples' vectors, read back from the postings, whose largest weights are checked on the way."""
+    held = np.zeros((len(index.keys), len(index.idf)))
+    for t in range(len(index.idf)):
+        for c in range(index.term_start[t], index.term_start[t + 1]):
+            places = slice(index.cell_start[c], index.cell_start[c + 1])
+            assert index.cell_most[c] == index.weight[places].max() and {e // toxicity.BLOCK for e in index.example[places]} == {index.cell_block[c]}
+            held[index.example[places], t] = index.weight[places]
+    return held
+
+
+def plain_score(index, held, text):
+    """The score from all cosines; None if it hangs on a tie that sums in another order may break differently."""
+    q = np.zeros(held.shape[1])
+    for word in set(toxicity.tokens(text)) & set(index.ids):
+        q[index.ids[word]] = (1 + math.log(toxicity.tokens(text).count(word))) * index.idf[index.ids[word]]
+    if not q.any():
+        return index.empty
+    cos = held @ (q / np.linalg.norm(q))
+    order = np.argsort(-cos, kind="stable")
+    order = order[cos[order] > 1e-12]
+    if len(order) > toxicity.K and cos[order[toxicity.K - 1]] - cos[order[toxicity.K]] < 1e-9:
+        return None
+    near = [(min(float(cos[e]), 1.0), int(e)) for e in order[: toxicity.K]]
+    return min(max(index.probability(index.vote(near)), 0.0), 1.0) if near else index.empty
+
+
 def test_nearest_is_exact(fitted):
     texts, _, _, index = fitted
-    vectors = {e: {} for e in range(len(index.keys))}
-    for t, blocks in index.postings.items():
-        for most, examples, weights in blocks.values():
-            assert most == max(weights)
-            for e, w in zip(examples, weights):
-                vectors[e][t] = w
+    held = dense(index)
     for text in [*texts[:80], "zonkwort qrumple zonkoid zonkoid", ""]:
-        q = index.vector(text)
-        every = sorted(((-sum(w * vectors[e].get(t, 0.0) for t, w in q.items()), e) for e in vectors))
-        want = [(-c, e) for c, e in every if c < 0][: toxicity.K]
-        got = index.nearest(q)
-        assert len(got) == len(want)
-        assert all(math.isclose(a[0], min(b[0], 1.0), abs_tol=1e-9) for a, b in zip(got, want))
+        want = plain_score(index, held, text)
+        assert want is None or math.isclose(index.score(text)[0], want, abs_tol=1e-9)
+
+
+def test_blocks_are_left_unread(spark):
+    """Blocks of examples about something else fall to the bounds."""
+    rng = random.Random(5)
+    topics = [[f"{t:02d}w{j:02d}" for j in range(30)] for t in range(24)]
+    examples = [({30 * t + j: 1 / math.sqrt(8) for j in rng.sample(range(30), 8)}, int(t % 2), 100 * t + i) for t in range(24) for i in range(toxicity.BLOCK)]
+    index = toxicity.Index({w: 1.0 for t in topics for w in t}, examples, {0: 1.0, 1: 1.0}, 0.0)
+    for t, i in ((0, 3), (7, 50), (23, 0)):
+        vector = dict(examples[t * toxicity.BLOCK + i][0]) | {(30 * t + 100) % 720: 0.05}
+        before = index.read
+        got = index.nearest(vector)
+        assert len(got) == toxicity.K and {e // toxicity.BLOCK for _, e in got} == {t}
+        assert index.read - before <= toxicity.FIRST_BLOCKS < index.blocks
 
 
 def test_scores(fitted, spark):
@@ -65,6 +98,22 @@ def test_held_out(spark):
     assert found.get((1, 0), 0) <= 0.03 * found[0, 0]
 
 
+def test_query_against_all_cosines(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    index = toxicity.fit(table, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
+    assert set(index.toxic) == {0, 1}
+    vectors, compared, alone = dense(index), 0, 0
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for r in op7_toxicity(spark, sf_dir).collect():
+        want = plain_score(index, vectors, texts[r.doc_id])
+        alone += not index.score(texts[r.doc_id])[1]
+        if want is not None:
+            compared += 1
+            assert math.isclose(r.score, want, abs_tol=1e-9)
+    assert compared > 0.8 * len(texts) and alone < 0.2 * len(texts)
+
+
 def test_query(spark, sf_dir):
     got = op7_toxicity(spark, sf_dir)
     rows = got.collect()
