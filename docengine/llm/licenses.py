@@ -1,19 +1,24 @@
 """License scans with a generalised suffix automaton.
 
-The automaton holds every run of words of every template. A file is streamed through it word by word: the matching
-statistics tell, at each word, the longest run ending there that some template has. Runs of MIN_MATCH words or more that
-cannot be extended are placed in their templates and chained: a run joins the chain of its template if it continues in
-both texts, with at most GAP words between, so that filled-in names and dates do not break a chain. A chain that covers
-COVERED of its template is a span with the template's label. Words outside the templates' vocabulary cannot belong to a
+The automaton holds every run of words of every template: whole licences, and the notices and statements that name one. A
+file is streamed through it word by word: the matching statistics tell, at each word, the longest run ending there that
+some template has. Runs of MIN_MATCH words or more that cannot be extended are placed in their templates and chained. A run
+may have several places in a template; each place continues the chain that covers most of those that it can continue in
+both texts, with at most GAP words between, or begins one, and the chains that it does not continue stay open. So neither
+filled-in names and dates nor another place of a run break a chain. A chain that covers COVERED of its template (NAMED of
+one of fewer than SHORT words, where a word tells licences apart) is a span with the template's label. Of spans that
+overlap by half or more, the one that covers most words stays. Words outside the templates' vocabulary cannot belong to a
 run, so only stretches of vocabulary words are streamed.
 
 Null and empty texts have no words. Texts are taken whole. Rows stand alone, so ties and repeated rows change nothing;
-additional columns travel along. An empty table gives an empty table.
+additional columns travel along, but for columns named n_words, license_base and license_spans, which are replaced. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from docengine.llm.common import small
 
-MIN_MATCH, GAP, COVERED = 3, 12, 0.6
+MIN_MATCH, GAP, COVERED, NAMED, SHORT = 3, 12, 0.6, 0.9, 20
 #: Base phrases and their labels (fixed values).
 BASE = ((b"cc by", "cc-by"), (b"general public license", "gpl"), (b"all rights reserved", "reserved"))
 #: License notices and their labels (fixed values).
@@ -47,7 +52,20 @@ TEMPLATES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("reserved", "Copyright. All rights reserved."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
+#: Files beside this module with whole licences (fixed values), and their labels.
+WHOLE = (("apache-2.0", "apache-2.0"), ("artistic", "artistic"), ("cc0", "cc0"), ("gpl", "gpl-2"), ("gpl", "gpl-3"), ("lgpl", "lgpl-2.1"), ("lgpl", "lgpl-3"), ("mpl-2.0", "mpl-2.0"))
+
+
+def templates() -> tuple[tuple[str, str], ...]:
+    """All templates, read on the driver: executors need not have the files."""
+    texts = resources.files("docengine.llm") / "license_texts"
+    return TEMPLATES + tuple((label, (texts / f"{name}.txt").read_text(encoding="utf-8")) for label, name in WHOLE)
 
 #: Every byte but those of words becomes a blank; A-Z become lower case; bytes of other characters belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -122,8 +140,8 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES):
-        cut = [(label, words(text)) for label, text in templates]
+    def __init__(self, given=None):
+        cut = [(label, words(text)) for label, text in (templates() if given is None else given)]
         self.vocab: dict[bytes, int] = {}
         for _, ws in [*cut, *(("", phrase.split()) for phrase, _ in BASE)]:
             for w in ws:
@@ -142,29 +160,38 @@ class Scanner:
         cuts = np.flatnonzero(np.diff(known) > 1)
         firsts, lasts = known[np.r_[0, cuts + 1]], known[np.r_[cuts, len(known) - 1]]
         long = lasts - firsts + 1 >= MIN_MATCH
-        open_: dict[int, list[int]] = {}
-        out: list[tuple[str, int, int, float]] = []
+        # by template: start and end in the text, end in the template, words covered
+        chains: dict[int, list[tuple[int, int, int, int]]] = {}
+        out: list[tuple[int, int, int, int]] = []
 
-        def close(t: int) -> None:
-            start, end, _, covered = open_.pop(t)
-            if covered >= COVERED * self.sizes[t]:
-                out.append((self.labels[t], start, end, covered / self.sizes[t]))
+        def enough(t: int, covered: int, length: int) -> bool:
+            if self.sizes[t] < SHORT:  # another word in it may name another licence
+                return covered >= NAMED * self.sizes[t] and length <= covered
+            return covered >= COVERED * self.sizes[t]
 
         for a, b in zip(firsts[long].tolist(), lasts[long].tolist()):
             for start, end, state in self.automaton.matches(ids[a : b + 1].tolist(), a):
-                for t, stop in sorted(self.automaton.ends[state]):
-                    begin, have = stop - (end - start), open_.get(t)
-                    if have and (start - have[1] > GAP or stop <= have[2] or begin - have[2] > GAP):
-                        close(t)
-                        have = None
-                    if have:
-                        have[3] += stop - max(begin, have[2])
-                        have[1], have[2] = end, stop
-                    else:
-                        open_[t] = [start, end, stop, end - start]
-        for t in list(open_):
-            close(t)
-        return sorted(set(out), key=lambda s: (s[1], s[2], s[0]))
+                places: dict[int, list[int]] = {}
+                for t, stop in self.automaton.ends[state]:
+                    places.setdefault(t, []).append(stop)
+                for t, stops in places.items():
+                    alive = [c for c in chains.get(t, ()) if start - c[1] <= GAP]
+                    best = {c[2]: c for c in sorted(alive, key=lambda c: c[3])}  # of chains that end alike, the longest
+                    for stop in stops:
+                        begin = stop - (end - start)
+                        found = max(((c[3] + stop - max(begin, c[2]), -c[0]) for c in alive if stop > c[2] and begin - c[2] <= GAP), default=(0, 0))
+                        covered, first = (found[0], -found[1]) if found[0] > end - start else (end - start, start)
+                        if stop not in best or best[stop][3] <= covered:
+                            best[stop] = (first, end, stop, covered)
+                            if enough(t, covered, end - first):
+                                out.append((t, first, end, covered))
+                    chains[t] = list(best.values())
+        kept: list[tuple[int, int, int, int]] = []
+        for t, start, end, covered in sorted(set(out), key=lambda c: (-c[3], c[2] - c[1], c)):
+            if all(2 * (min(end, e) - max(start, s)) < min(end - start, e - s) for _, s, e, _ in kept):
+                kept.append((t, start, end, covered))
+        spans = {(self.labels[t], start, end, min(covered / self.sizes[t], 1.0)) for t, start, end, covered in kept}
+        return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]:
         """Number of words, places (label, start) of the base phrases, spans."""
@@ -190,9 +217,11 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     needed = list(dict.fromkeys([*keep, text]))
     source = df.select(*(f"`{c}`" for c in needed))
 
+    given = df.sparkSession.sparkContext.broadcast(templates())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _scanner:
-            _scanner.append(Scanner())
+            _scanner.append(Scanner(given.value))
         for b in small(batches):
             rows = [_scanner[0].scan(t.as_py()) for t in b.column(needed.index(text))]
             out = [
@@ -207,6 +236,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
 
 
 def summary(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts and labels; the score is the largest covered share of a template, a base phrase being one that is covered whole."""
     return scanned.selectExpr(
         f"`{key}`",
         "n_words",
@@ -215,5 +245,5 @@ def summary(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
         "array_max(license_base.start) as last_word",
         "array_join(array_sort(array_distinct(license_base.label)), ',') as base_labels",
         "array_join(array_sort(array_distinct(concat(license_base.label, license_spans.label))), ',') as labels",
-        "coalesce(array_max(license_spans.covered), 0D) as score",
+        "case when size(license_base) > 0 then 1D else coalesce(array_max(license_spans.covered), 0D) end as score",
     )
