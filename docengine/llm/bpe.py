@@ -49,12 +49,29 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def check_supported(spec: dict) -> None:
+    """Raises ValueError for a tokenizer file that asks for more than byte-level BPE with added tokens cut out as they stand."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+    wrong = [f"model {k}" for k, v in plain.items() if (model.get(k) or v) != v] + ["model type"] * (model.get("type") != "BPE")
+    if spec.get("normalizer") is not None:
+        wrong.append("normalizer")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        wrong.append("decoder")
+    wrong += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if wrong:
+        raise ValueError(f"this tokenizer file is not supported: {', '.join(wrong)}")
+
+
 class Codec(dict):
     """Encodes and decodes by one tokenizer file. As a mapping it gives the ids of a word."""
 
     def __init__(self, file: bytes):
         super().__init__()
         spec = json.loads(file)
+        check_supported(spec)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.file, self.rules = file, None

@@ -21,7 +21,8 @@ node; the rest of the work is on nodes. Two nodes link when their sets' Jaccard
 
 Pairs travel packed, many to a row. Documents with no words (null and empty texts) have no set and link with nothing;
 fewer words than SHINGLE make one shingle. Rows with a null id take part without lending their id. Repeated rows are
-copies of each other. Texts are taken whole; additional columns travel along. An empty table gives an empty table. Sets
+copies of each other. Texts are taken whole; additional columns travel along, but for a column named ngram_join, which is
+replaced. An empty table gives an empty table. Sets
 are compared by hashes of 64 bits, so two different shingles of a pair are taken for equal once in some 10^13 pairs of
 documents of a thousand words.
 """
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import materialize, small
+from docengine.llm.common import free, materialize, small
 
 SHINGLE, NUMERATOR = 5, 75
 #: Shingles that are last in the order: at most HEAVY, each counted LOCAL times or more in some part of a task's input.
@@ -54,8 +55,8 @@ SPLIT = 50_000
 ALL_PAIRS, CENTRES = 64, 4
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
-#: So many node hashes of 8 bytes may be broadcast, after they are counted.
-BROADCAST_NODES = 500_000
+#: So many bytes of wanted nodes, with the cells that ask for them, may be broadcast, after they are summed.
+BROADCAST_BYTES = 24 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -301,7 +302,7 @@ def _bucketed(pairs: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
 
 
 def _meetings(prefixes: DataFrame, all_pairs: int, buckets: int, bits: int) -> DataFrame:
-    """Packed pairs (bucket, pairs), and members (hash, share, node, size) of the meetings that were not expanded."""
+    """Packed pairs (bucket, pairs), and members (hash, share, node, size, rank) of the meetings that were not expanded."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _sorted(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY))
@@ -309,23 +310,23 @@ def _meetings(prefixes: DataFrame, all_pairs: int, buckets: int, bits: int) -> D
         keys, blobs = _bucketed(pairs, buckets)
         n, m = len(keys), len(kept)
         none = pa.nulls(n, pa.int64())
-        first = [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none]
+        first = [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none, none]
         share = np.full(m, table.column("fragment")[0].as_py(), np.int64)
-        members = [_signed(rows["hash"][kept].copy()), share, _signed(rows["node"][kept].copy()), rows["size"][kept].astype(np.int64)]
+        members = [_signed(rows["hash"][kept].copy()), share, _signed(rows["node"][kept].copy()), rows["size"][kept].astype(np.int64), rows["rank"][kept].astype(np.int64)]
         second = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, members)]
-        return pa.table([pa.chunked_array([x, y]) for x, y in zip(first, second)], ["bucket", "pairs", "hash", "share", "node", "size"])
+        return pa.table([pa.chunked_array([x, y]) for x, y in zip(first, second)], ["bucket", "pairs", "hash", "share", "node", "size", "rank"])
 
-    return prefixes.groupBy("fragment").applyInArrow(run, "bucket int, pairs binary, hash long, share long, node long, size long")
+    return prefixes.groupBy("fragment").applyInArrow(run, "bucket int, pairs binary, hash long, share long, node long, size long, rank long")
 
 
 def _crossed(rows: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
     """Counted pairs of members of one meeting and different components, a few members at a time.
 
-    rows: hash and share, by which they are sorted, node, size, label, main (of the meeting's largest component), turn.
+    rows: hash and share, by which they are sorted, node, size, rank, label, main (of the meeting's largest component), turn.
     Rows without a turn are the members of a share; rows with one are members outside the largest component, which take
     their turn against all members of the share, whichever share is their own.
     """
-    hashes, share, nodes, sizes, labels, main, turn = (rows[c] for c in ("hash", "share", "node", "size", "label", "main", "turn"))
+    hashes, share, nodes, sizes, ranks, labels, main, turn = (rows[c] for c in ("hash", "share", "node", "size", "rank", "label", "main", "turn"))
     starts = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (share[1:] != share[:-1])]) if len(hashes) else np.zeros(0, np.int64)
     turns: dict[int, list[tuple[int, np.ndarray]]] = {}
     for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(hashes)]):
@@ -338,6 +339,7 @@ def _crossed(rows: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
         own = np.repeat([i for i, _ in places], [len(there) for _, there in places])
         # of two that both take their turn in a meeting, the smaller counts the pair
         fine = (labels[at] != labels[own]) & (main[at] | (nodes[own] < nodes[at]))
+        fine &= room(sizes[own], ranks[own], sizes[at], ranks[at])
         at, own = at[fine], own[fine]
         held.append(_summed(_pairs(nodes[own], nodes[at], sizes[own], sizes[at], crossed=True)))
         total += len(held[-1])
@@ -350,7 +352,7 @@ def _crossed(rows: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
 
 def _unmet(members: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     """Packed pairs (bucket, pairs) of members of kept meetings that are in different components."""
-    names = ("hash", "share", "node", "size", "label", "main", "turn")
+    names = ("hash", "share", "node", "size", "rank", "label", "main", "turn")
 
     def run(table: pa.Table) -> pa.Table:
         rows = {c: np.array(table.column(c).to_pylist(), bool) if c in ("main", "turn") else table.column(c).to_numpy() for c in names}
@@ -368,8 +370,8 @@ def _unmet(members: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     per = per.groupBy("hash").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.array_distinct(F.flatten(F.collect_list("shares"))).alias("shares"))
     split = materialize(per.where("labels > 1").select("hash", "largest", "shares"))
     met = placed.join(split, "hash").withColumn("main", F.col("label") == F.col("largest"))
-    there = met.select("hash", "share", "node", "size", "label", "main", F.lit(False).alias("turn"))
-    turns = met.where("not main").select("hash", F.explode("shares").alias("share"), "node", "size", "label", "main", F.lit(True).alias("turn"))
+    there = met.select("hash", "share", "node", "size", "rank", "label", "main", F.lit(False).alias("turn"))
+    turns = met.where("not main").select("hash", F.explode("shares").alias("share"), "node", "size", "rank", "label", "main", F.lit(True).alias("turn"))
     fragments = max(1, math.ceil(placed.count() / FRAGMENT_MEMBERS))
     fragment = F.pmod(F.xxhash64("hash", "share"), F.lit(fragments)).alias("fragment")
     return there.union(turns).select(fragment, *names).groupBy("fragment").applyInArrow(run, "bucket int, pairs binary")
@@ -482,7 +484,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, ranges:
     asked = candidates.where("pairs is not null").select("bucket", "pairs")
     cells = candidates.where("node is not null").groupBy("node").agg(F.collect_set("bucket").alias("cells"))
     wanted = materialize(nodes.join(cells, "node").select("node", "doc", "same", "cells"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    held = wanted.agg(F.coalesce(F.sum(F.size("cells") * 4 + 40), F.lit(0))).first()[0]
+    few = F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted
     parts = _parts(docs.join(few, ["doc", "same"]).select("node", "text", "cells"), ranges)
     each = asked.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
     counted = each.groupBy("range", "bucket").cogroup(parts.groupBy("range", "cell")).applyInArrow(_overlaps, "bucket int, shared binary")
@@ -533,11 +536,12 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: i
     first = F.min(F.struct("doc", "same")).alias("first")
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(first, F.max("size").alias("size")).select("node", "first.doc", "first.same", "size"))
     entries, total = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") / 4) + 1), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    bits = max(0, math.ceil(math.log2(max(1, entries / FRAGMENT_ENTRIES))))
+    # a prefix holds the lowest quarter of a set's hashes, so a quarter of the fragments take nearly all of them
+    bits = max(0, math.ceil(math.log2(max(1, 4 * entries / FRAGMENT_ENTRIES))))
     buckets = max(BUCKETS, math.ceil(entries / BUCKET_ENTRIES))
     ranges = min(64, max(RANGES, math.ceil(8 * total / (buckets * CELL_BYTES))))
     met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described, bits, split), bits), all_pairs, buckets, bits))
-    pairs, members = met.where("pairs is not null").select("bucket", "pairs"), met.where("hash is not null").select("hash", "share", "node", "size")
+    pairs, members = met.where("pairs is not null").select("bucket", "pairs"), met.where("hash is not null").select("hash", "share", "node", "size", "rank")
     links = materialize(_verified(docs, nodes, materialize(_candidates(pairs, crossed=False)), ranges))
     state = components(nodes, links)
     rest = materialize(_unmet(members, state, buckets))
@@ -555,7 +559,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: i
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df's columns and the struct ngram_join (n_shingles, component)."""
     mine = [c for c in df.columns if c != "ngram_join"]
-    told = classes(df, key, text).distinct().select(F.col("doc").alias("_nj_doc"), F.col("same").alias("_nj_same"), F.struct(F.col("size").alias("n_shingles"), "component").alias("ngram_join"))
-    rows = df.select(*(f"`{c}`" for c in mine), F.col(f"`{key}`").cast("long").alias("_nj_key"), F.xxhash64(F.col(f"`{text}`")).alias("_nj_hash"))
-    met = rows.join(told, F.col("_nj_key").eqNullSafe(F.col("_nj_doc")) & (F.col("_nj_hash") == F.col("_nj_same")), "left")
+    doc, same, own_key, own_hash = free(df, "doc", "same", "key", "hash")
+    told = classes(df, key, text).distinct().select(F.col("doc").alias(doc), F.col("same").alias(same), F.struct(F.col("size").alias("n_shingles"), "component").alias("ngram_join"))
+    rows = df.select(*(f"`{c}`" for c in mine), F.col(f"`{key}`").cast("long").alias(own_key), F.xxhash64(F.col(f"`{text}`")).alias(own_hash))
+    met = rows.join(told, F.col(own_key).eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(same)), "left")
     return met.select(*(f"`{c}`" for c in mine), "ngram_join")

@@ -32,15 +32,14 @@ FROM r
 
 OP5 = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS DOUBLE))) AS v
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 20
 """
@@ -98,39 +97,65 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN z ON d.doc_id = z.doc_id
 """
 
 
-OP10 = r"""
-WITH l AS (
+def _edits(n: str) -> str:
+    from docengine.llm.line_dedup import EDITS
+
+    return "(CASE " + " ".join(f"WHEN {n} < {below} THEN {t}" for below, t in EDITS) + " END)"
+
+
+def _step(o: int) -> str:
+    """The distance between the first i + 1 characters of a and as many and o of b, from those before (c) and beside it (e)."""
+    j, k = f"(i + 1 + {o})", o + 3
+    ways = [f"c{k} + CASE WHEN substr(a, i + 1, 1) = substr(b, CAST({j} AS BIGINT), 1) THEN 0 ELSE 1 END"]
+    ways += [f"c{k + 1} + 1"] if k < 6 else []
+    ways += [f"e{k - 1} + 1"] if k > 0 else []
+    return f"CASE WHEN {j} < 0 OR {j} > m THEN 99 WHEN {j} = 0 THEN i + 1 ELSE least({', '.join(ways)}) END AS e{k}"
+
+
+def _op10() -> str:
+    """Near texts by segments of equal length, distances by rows of the table three off its diagonal, and one text after the other."""
+    size = f"(n // ({_edits('n')} + 1))"
+    return rf"""
+WITH RECURSIVE l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
 ), o AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), t AS (SELECT line, len(line) AS n, min(doc_id) AS first FROM o GROUP BY line
-), long AS (SELECT * FROM t WHERE n >= 16
-), c AS (
-  SELECT a.line AS a, b.line AS b, a.n AS n, b.n AS m, a.first AS af, b.first AS bf FROM long a JOIN long b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.line < b.line
-  UNION
-  SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM long a JOIN long b ON b.n = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.line < b.line
-  UNION
-  SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM long a JOIN long b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
-  UNION
-  SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM long a JOIN long b ON b.n = a.n + 1 AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
-), p AS (
-  SELECT *, coalesce(list_position(list_transform(range(1, n + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)), true), n + 1) AS diff FROM c
-), k AS (
-  SELECT * FROM p WHERE CASE WHEN n = m THEN substr(a, CAST(diff + 1 AS BIGINT)) = substr(b, CAST(diff + 1 AS BIGINT)) ELSE substr(a, CAST(diff AS BIGINT)) = substr(b, CAST(diff + 1 AS BIGINT)) END
-), near AS (
-  SELECT DISTINCT CASE WHEN af > bf OR (af = bf AND a > b) THEN a ELSE b END AS line FROM k
+), t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first, line) AS r FROM (SELECT line, len(line) AS n, min(doc_id) AS first FROM o GROUP BY line)
+), ix AS MATERIALIZED (SELECT r, line, n, k, substr(line, CAST(k * {size} + 1 AS BIGINT), CAST({size} AS BIGINT)) AS seg FROM (SELECT *, unnest(range(0, {_edits('n')} + 1)) AS k FROM t WHERE {_edits('n')} > 0)
+), pn AS (SELECT r, line, m, n, unnest(range(0, {_edits('n')} + 1)) AS k FROM (SELECT r, line, n AS m, n - unnest(range(0, 4)) AS n FROM t) WHERE {_edits('n')} > 0 AND m - n <= {_edits('n')}
+), ps AS (SELECT *, unnest(range(-{_edits('n')}, {_edits('n')} + 1)) AS s FROM pn
+), pr AS (SELECT r, line, m, n, k, substr(line, CAST(k * {size} + s + 1 AS BIGINT), CAST({size} AS BIGINT)) AS seg FROM ps WHERE k * {size} + s >= 0
+), c AS MATERIALIZED (
+  SELECT DISTINCT ix.r AS ar, pr.r AS br, ix.line AS a, pr.line AS b, ix.n AS n, pr.m AS m FROM ix JOIN pr ON ix.n = pr.n AND ix.k = pr.k AND ix.seg = pr.seg
+  WHERE ix.r <> pr.r AND (pr.m > ix.n OR ix.r < pr.r)
+), dp AS (
+  SELECT ar, br, a, b, n, m, CAST(0 AS BIGINT) AS i, 99 AS c0, 99 AS c1, 99 AS c2, 0 AS c3, 1 AS c4, 2 AS c5, 3 AS c6 FROM c
+  UNION ALL
+  SELECT ar, br, a, b, n, m, i + 1, e0, e1, e2, e3, e4, e5, e6 FROM (SELECT *, {", ".join(map(_step, range(-3, 4)))} FROM dp WHERE i < n AND least(c0, c1, c2, c3, c4, c5, c6) <= 3)
+), k AS MATERIALIZED (
+  SELECT greatest(ar, br) AS later, least(ar, br) AS earlier FROM dp WHERE i = n AND CASE m - n WHEN 0 THEN c3 WHEN 1 THEN c4 WHEN 2 THEN c5 ELSE c6 END <= {_edits('n')}
+), q AS MATERIALIZED (
+  SELECT r, row_number() OVER (ORDER BY r) AS i, coalesce(list(k.earlier) FILTER (k.earlier IS NOT NULL), []) AS before
+  FROM (SELECT later AS r FROM k UNION SELECT earlier FROM k) LEFT JOIN k ON r = k.later GROUP BY r
 ), w AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept
+  UNION ALL
+  SELECT q.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, r) END FROM w JOIN q ON q.i = w.i + 1
+), near AS (
+  SELECT line FROM t JOIN q ON t.r = q.r WHERE NOT list_contains((SELECT arg_max(kept, i) FROM w), q.r)
+), u AS (
   SELECT o.doc_id, o.pos, o.line, near.line IS NOT NULL AS near,
          near.line IS NOT NULL OR o.doc_id <> t.first OR row_number() OVER (PARTITION BY o.doc_id, o.line ORDER BY o.pos) > 1 AS gone
   FROM o JOIN t ON o.line = t.line LEFT JOIN near ON o.line = near.line
 ), g AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT near) AS n_exact, count(*) FILTER (gone AND near) AS n_near FROM w GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT near) AS n_exact, count(*) FILTER (gone AND near) AS n_near FROM u GROUP BY doc_id
 ), x AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN w ON l.doc_id = w.doc_id AND l.pos = w.pos WHERE coalesce(NOT w.gone, true) GROUP BY l.doc_id
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN u ON l.doc_id = u.doc_id AND l.pos = u.pos WHERE coalesce(NOT u.gone, true) GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_exact, 0) AS n_exact, coalesce(g.n_near, 0) AS n_near, sha256(coalesce(x.text, '')) AS text_sha256
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
 """
 
+
 OP8 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -150,4 +175,4 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY ALL
 """
 
-ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3(), "op5_topk": OP5, "op8_ngram_join": OP8, "op10_line_dedup": OP10}
+ORACLES: dict[str, str] = {"op2_mix": OP2, "op3_secrets": _op3(), "op5_topk": OP5, "op8_ngram_join": OP8, "op10_line_dedup": _op10()}

@@ -10,8 +10,8 @@ Queries and candidates are dealt into blocks, and each pair of blocks is one gro
 all candidate blocks are merged at the end. The number of blocks follows the counted rows. Pivots are the PIVOTS rows
 with the smallest hashes of their ids, the only rows that go to the driver.
 
-Vectors that are null or hold null or non-finite components, and rows without id, take no part. If several rows have one
-id, the smallest vector stands for it. Shorter vectors count as padded with zeros. Fewer than k candidates give fewer
+Vectors that are null or hold null or non-finite components, and rows without id, take no part. Rows that share an id are
+rows of their own, each a candidate for the other, also if their vectors are equal; results name their id. Shorter vectors count as padded with zeros. Fewer than k candidates give fewer
 rows; ties go to the smaller id. An empty table gives an empty table; additional columns are ignored.
 """
 
@@ -33,7 +33,7 @@ QUERY_BLOCK, CANDIDATE_BLOCK = (1024, 16_384), (4096, 65_536)
 #: Candidates that are scored before the bounds are looked at again.
 STEP = 128
 
-_BEST = "query_id long, id long, score long"
+_BEST = "query_row long, query_id long, id long, score long"
 
 
 def quantized(vector: Column) -> Column:
@@ -55,9 +55,9 @@ def _prepared(table: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
                 x[i, : len(v)] = v
             d = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(-1)) if len(pivots) else np.zeros((len(x), 0))
             packed = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, d)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed[0], pa.array((x * x).sum(1)), packed[1]], ["id", "is_query", "vector", "norm", "pivots"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed[0], pa.array((x * x).sum(1)), packed[1], b.column(3)], ["id", "is_query", "vector", "norm", "pivots", "row"])
 
-    return table.mapInArrow(run, "id long, is_query boolean, vector binary, norm double, pivots binary")
+    return table.mapInArrow(run, "id long, is_query boolean, vector binary, norm double, pivots binary, row long")
 
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -76,9 +76,9 @@ class Candidates:
     is in single precision; the slack of the bounds is above its rounding errors.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, near: np.ndarray, widest: float):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, near: np.ndarray, widest: float, rows: np.ndarray | None = None):
         exact = max(float(np.abs(x).max(initial=0)), 1.0) * max(widest, 1.0) * max(x.shape[1], 1) < 2.0**24
-        self.ids, self.norms, self.exact = ids, norms, exact
+        self.ids, self.norms, self.exact, self.rows = ids, norms, exact, ids if rows is None else rows
         self.x = x.astype(np.float32) if exact else x
         self.table = np.ascontiguousarray(near.T, np.float32)
         self.length = float(norms.max(initial=0.0)) ** 0.5
@@ -96,13 +96,13 @@ class Candidates:
         return bound + (1e-6 * max(self.farthest, float(to.max(initial=0.0))) * length + 1e-9 * length * length + 1e-6)
 
     def best(self, own: int, q: np.ndarray, norm: float, to: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best for one query, and how many candidates were scored.
+        """Ids and scores of the k best for the query in the row own, and how many candidates were scored.
 
         The candidates with the highest bounds are scored first, STEP and then eight times as many at a time; those whose
         bound lies below the k-th best score so far are out for good.
         """
         bound, q = self.bounds(norm, to), q.astype(self.x.dtype)
-        left = np.flatnonzero(self.ids != own)
+        left = np.flatnonzero(self.rows != own)
         have_ids, have = np.zeros(0, np.int64), np.zeros(0, np.int64)
         step, seen = STEP, 0
         while len(left):
@@ -132,21 +132,22 @@ class Candidates:
 def _cell(k: int):
     def run(table: pa.Table) -> pa.Table:
         is_query = np.array(table.column("is_query").to_pylist(), bool)
-        ids = np.array(table.column("id").to_pylist(), np.int64)
+        ids, rows = np.array(table.column("id").to_pylist(), np.int64), np.array(table.column("row").to_pylist(), np.int64)
 
         def packed(name: str) -> np.ndarray:
             rows = table.column(name).to_pylist()
             return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows and rows[0] else np.zeros((len(rows), 0))
 
         x, near, norms = packed("vector"), packed("pivots"), np.array(table.column("norm").to_pylist(), np.float64)
-        there, out = ~is_query, ([], [], [])
-        block = Candidates(ids[there], x[there], norms[there], near[there], float(np.abs(x[is_query]).max(initial=0)))
+        there, out = ~is_query, ([], [], [], [])
+        block = Candidates(ids[there], x[there], norms[there], near[there], float(np.abs(x[is_query]).max(initial=0)), rows[there])
         for i in np.flatnonzero(is_query):
-            got, score, _ = block.best(ids[i], x[i], norms[i], near[i], k)
-            out[0].append(np.full(len(got), ids[i]))
-            out[1].append(got)
-            out[2].append(score)
-        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], ["query_id", "id", "score"])
+            got, score, _ = block.best(rows[i], x[i], norms[i], near[i], k)
+            out[0].append(np.full(len(got), rows[i]))
+            out[1].append(np.full(len(got), ids[i]))
+            out[2].append(got)
+            out[3].append(score)
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], ["query_row", "query_id", "id", "score"])
 
     return run
 
@@ -159,20 +160,22 @@ def blocks(rows: int, size: tuple[int, int], parts: int) -> int:
 def search(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), id, score: the k highest inner products of each query with the other rows' vectors."""
     table = df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), quantized(F.col(vector)).alias("v"))
-    table = table.groupBy("id").agg(F.max("is_query").alias("is_query"), F.min("v").alias("v"))
+    # rows that are alike in id and vector are numbered, so that each row has a name of its own
+    table = table.groupBy("id", "v").agg(F.max("is_query").alias("is_query"), F.count(F.lit(1)).alias("n")).select("id", "is_query", "v", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("n"))
+    table = table.select("id", "is_query", "v", F.xxhash64("id", "v", "n").alias("row"))
     rows, queries, width = table.agg(F.count(F.lit(1)), F.count_if("is_query"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(width, 1)
-    chosen = table.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()
+    chosen = table.orderBy(F.xxhash64("row"), "row").limit(PIVOTS).select("v").collect()
     pivots = np.zeros((len(chosen), width))
     for i, r in enumerate(chosen):
         pivots[i, : len(r.v)] = r.v
     ready = materialize(_prepared(table, width, pivots))
     nq, nc = blocks(queries, QUERY_BLOCK, 16), blocks(rows, CANDIDATE_BLOCK, 64)
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nq)).cast("int"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(nc)).cast("int")
+    mine = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(nq)).cast("int"), F.pmod(F.xxhash64("row", F.lit(2)), F.lit(nc)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    body = ("id", "vector", "norm", "pivots")
+    body = ("id", "vector", "norm", "pivots", "row")
     asks = ready.where("is_query").select(mine[0].alias("query_block"), every(nc).alias("candidate_block"), F.lit(True).alias("is_query"), *body)
     gives = ready.select(every(nq).alias("query_block"), mine[1].alias("candidate_block"), F.lit(False).alias("is_query"), *body)
     found = asks.unionByName(gives).groupBy("query_block", "candidate_block").applyInArrow(_cell(k), _BEST)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -64,3 +64,14 @@ def test_operators_and_edges(spark):
     clash = df.withColumnRenamed("size", "token_ids")
     assert all(r.token_ids == theirs(r.text or "") for r in bpe.encode(clash, PATH).collect())
     assert bpe.round_trip(df, PATH).where("doc_id is null").first().n_tokens == len(theirs("a row without an id"))
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_supported(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"type": "WordPiece"}}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_supported(spec | change)

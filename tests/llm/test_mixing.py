@@ -1,6 +1,7 @@
 import re
 from fractions import Fraction
 
+from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, brute, docs, edge_docs
 
 from docengine.llm import mixing
@@ -70,3 +71,17 @@ def test_long_table_of_rates(spark, monkeypatch):
     want = sorted((r.doc_id, r.copies) for r in mixing.plan(df).collect())
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
     assert sorted((r.doc_id, r.copies) for r in mixing.plan(df).collect()) == want
+
+
+def test_names_that_clash(spark):
+    df = docs(spark, ["a b c"] * 6).withColumnsRenamed({"lang": "mix_rate", "n_chars": "copy"}).withColumns({c: F.lit(1) for c in ("_source", "_mix_size", "_copy", "mix_size", "salt", "of_source")})
+    out = mixing.mix(df)
+    assert out.columns == df.columns and {r.copy for r in out.collect()} == {5}
+    assert mixing.plan(df).columns == [*df.columns, "size", "source_size", "target", "rate", "copies"]
+
+
+def test_numbers_of_many_sources(spark):
+    names = [None, "é", "z", "Z", *(f"host{i}.org" for i in range(400))]
+    per = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(7)
+    got = {r.source: r.number for r in mixing._numbered(per).collect()}
+    assert got == {n: i for i, n in enumerate([*sorted(names[1:], key=lambda x: x.encode()), None])}

@@ -149,8 +149,14 @@ def test_edges(spark):
 
 
 def test_shuffled_verification(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(ngram_join, "CELL_BYTES", 400)
     monkeypatch.setattr(ngram_join, "RANGES", 3)
     monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 500)
     same(spark, corpus(random.Random(5), 120))
+
+
+def test_names_that_clash(spark):
+    df = docs(spark, ["one two three four five six"] * 2).withColumnsRenamed({"lang": "_nj_key", "source": "doc", "n_chars": "Hash"})
+    out = ngram_join.join(df)
+    assert out.columns == [*df.columns, "ngram_join"] and {r.ngram_join.component for r in out.collect()} == {0}

@@ -9,23 +9,21 @@ from docengine.llm.queries import op5_topk
 
 
 def plain(rows, asks, k):
-    vectors = {}
+    vectors = []
     for key, v in rows:
-        if key is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(64.0 * x) for x in v]
-        vectors[key] = min(vectors.get(key, q), q)
-    out = set()
-    for a in vectors:
+        if key is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            vectors.append((key, [math.floor(64.0 * x) for x in v]))
+    out = []
+    for i, (a, q) in enumerate(vectors):
         if asks(a):
-            found = sorted((-sum(x * y for x, y in zip(vectors[a], v)), b) for b, v in vectors.items() if b != a)[:k]
-            out |= {(a, i + 1, b, -s) for i, (s, b) in enumerate(found)}
-    return out
+            found = sorted((-sum(x * y for x, y in zip(q, v)), b) for j, (b, v) in enumerate(vectors) if j != i)[:k]
+            out += [(a, n + 1, b, -s) for n, (s, b) in enumerate(found)]
+    return sorted(out)
 
 
 def test_query(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in op5_topk(spark, sf_dir).collect()}
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op5_topk(spark, sf_dir).collect())
     assert got == plain(rows, lambda a: a % 20 == 0, 20)
 
 
@@ -36,9 +34,9 @@ def test_ties_blocks_and_edges(spark, monkeypatch, small):
         monkeypatch.setattr(topk, "CANDIDATE_BLOCK", (7, 11))
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 16]) for i in range(150)]
-    rows += [(0, rows[0][1]), (200, None), (201, [float("nan")] * 6), (202, [None] * 6), (203, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (205, []), (206, [0.5, 0.5])]
+    rows += [(0, rows[0][1]), (5, [2.0] * 6), (5, [0.5] * 6), (7, [1.0] * 6), (200, None), (201, [float("nan")] * 6), (202, [None] * 6), (203, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (205, []), (206, [0.5, 0.5])]
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "vec_id long, embedding array<float>, score int, id int")
-    got = {tuple(r) for r in topk.search(df.drop("id"), F.col("vec_id") % 5 == 0, 4).collect()}
+    got = sorted(tuple(r) for r in topk.search(df.drop("id"), F.col("vec_id") % 5 == 0, 4).collect())
     assert got == plain(rows, lambda a: a % 5 == 0, 4)
 
 
