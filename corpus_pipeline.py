@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the one before kept and returns a DataFrame; all but the last return the columns of
 documents. run() applies them to the documents table; between stages the rows are written as Parquet in the shared
-folder and read again, so a lost executor costs one stage's tasks at most.
+folder and read again, so a lost executor costs one stage's tasks at most; what a stage wrote for itself goes when its rows
+are written. Stages take texts whole, however long, and any columns beside those of documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm import bpe, line_dedup, mixing, ngram_join, quality
-from docengine.llm.common import documents, materialize
+from docengine.llm.common import documents, free
 from docengine.llm.queries import tokenizer_path
+from docengine.sources.scratch import folder, scope
 
 #: SQL cannot express compression ratios or BPE; tests hold the stages against plain Python.
 ORACLE_SQL = None
@@ -20,21 +22,27 @@ ORACLE_SQL = None
 
 def _aside(docs: DataFrame, name: str) -> tuple[DataFrame, list]:
     """docs with a column of that name out of an operator's way, and the columns that put it back."""
-    there = f"_own_{name}"
-    renamed = docs.withColumnRenamed(name, there) if name in docs.columns else docs
+    (there,) = free(docs, name)
+    renamed = docs.withColumnRenamed(name, there)
     return renamed, [F.col(f"`{there}`").alias(c) if c == name else F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    packed = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_document"), "text")
-    return quality.assess(packed, keep=["_document"]).where("kept").select("_document.*")
+    """Documents that the quality rules keep.
+
+    Null and empty texts have too few words and go. Rows are judged alone, so repeated rows, ties and nulls in other columns
+    change nothing. An empty table stays empty.
+    """
+    packed = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("document"), "text")
+    return quality.assess(packed, keep=["document"]).where("kept").select("document.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document has; one that has nothing but such lines goes.
 
-    n_chars follows the text. A document that loses nothing stays as it is, also without any word.
+    n_chars follows the text. A document that loses nothing stays as it is, also without any word or with a null text. Of
+    repeated lines the one of the smallest doc_id stays, rows without an id coming last; equal rows keep the same lines. An
+    empty table stays empty.
     """
     rows, columns = _aside(docs, "line_dedup")
     deduped = line_dedup.dedup(rows)
@@ -48,7 +56,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Rows that share that id all stay; rows without an id stay if no row of their group has one.
+    Rows that share that id all stay; rows without an id stay if no row of their group has one. Null and empty texts are in
+    no group. An empty table stays empty.
     """
     rows, columns = _aside(docs, "ngram_join")
     component = F.col("ngram_join.component")
@@ -56,12 +65,16 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's share of the mix asks for."""
+    """Each document as often as its source's share of the mix asks for.
+
+    Rows without a source are one source; rows that share an id are taken equally often. A source without words gives
+    nothing. An empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the token ids of each document of the mix."""
+    """doc_id, source and the token ids of each document of the mix, a row for each of its copies; none for null and empty texts."""
     return bpe.encode(docs, tokenizer_path(), keep=["doc_id", "source"]).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
@@ -76,8 +89,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        path = folder(spark)
+        with scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
