@@ -39,8 +39,8 @@ from docengine.llm.common import BROADCAST_ROWS, small
 FIT_ROWS, EXAMPLES, TERMS, MIN_DOCS = 6000, 1500, 200_000, 2
 #: How many standard errors of a correlation count as noise, and the emphasis of a word that tells nothing, as a share of that.
 NOISE, FLOOR = 3.0, 0.1
-#: Blocks that are read before the bounds are looked at again.
-FIRST_BLOCKS = 4
+#: Blocks that are read before the bounds are looked at again, and the share of examples from which a term has a column.
+FIRST_BLOCKS, COMMON = 4, 0.1
 K, BLOCK, BINS, THRESHOLD = 25, 64, 12, 0.3
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -89,6 +89,19 @@ class Index:
         self.term_start = np.searchsorted(term[starts], np.arange(len(terms) + 1))
         self.bins: list[tuple[float, float]] = []
         self.read = 0
+        self.columns: np.ndarray | None = None
+
+    def _with_columns(self) -> None:
+        """Postings of common terms as columns over the examples by block, made where they are used; the others stay lists."""
+        places = self.cell_start[self.term_start]
+        common = np.flatnonzero(np.diff(places) > COMMON * max(len(self.keys), 1))
+        self.column = np.full(len(self.idf), -1)
+        self.column[common] = np.arange(len(common))
+        flat = np.zeros((self.blocks * BLOCK, len(common)))
+        for i, t in enumerate(common):
+            own = slice(places[t], places[t + 1])
+            flat[self.example[own], i] = self.weight[own]
+        self.columns = flat.reshape(self.blocks, BLOCK, len(common))
 
     def vector(self, text: str | None) -> dict[int, float]:
         """The unit vector; empty without terms."""
@@ -103,10 +116,15 @@ class Index:
     def nearest(self, vector: dict[int, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a positive cosine, highest first, ties by example."""
         terms, q = np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+        if self.columns is None:
+            self._with_columns()
+        column = self.column[terms]
+        across = np.zeros(self.columns.shape[2])
+        across[column[column >= 0]] = q[column >= 0]
         first = self.term_start[terms]
         counts = self.term_start[terms + 1] - first
         cells, of = _gathered(first, counts), np.repeat(q, counts)
-        block = self.cell_block[cells]
+        block, listed = self.cell_block[cells], np.repeat(column < 0, counts)
         bound = np.bincount(block, of * self.cell_most[cells], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -118,15 +136,16 @@ class Index:
                 part = part[bound[part] >= -best[-1][0] - 1e-12]
                 if not len(part):
                     break
-            at, step = at + step, step * 4
+            at, step = at + step, self.blocks
             self.read += len(part)
             wanted = np.zeros(self.blocks, bool)
             wanted[part] = True
-            hit = wanted[block]
+            hit = wanted[block] & listed
             start = self.cell_start[cells[hit]]
             sizes = self.cell_start[cells[hit] + 1] - start
             places = _gathered(start, sizes)
-            cos = np.bincount(self.example[places], self.weight[places] * np.repeat(of[hit], sizes), minlength=len(self.keys))
+            cos = np.bincount(self.example[places], self.weight[places] * np.repeat(of[hit], sizes), minlength=self.blocks * BLOCK).astype(np.float64)
+            cos.reshape(self.blocks, BLOCK)[part] += self.columns[part] @ across
             if without >= 0:
                 cos[without] = 0.0
             there = np.flatnonzero(cos > 0)
@@ -257,7 +276,10 @@ def score(df: DataFrame, index: Index | None, text: str = "text", keep: list[str
         own = _loaded[name]
         for b in small(batches):
             rows = [own.score(t) if own else (0.0, []) for t in b.column(needed.index(text)).to_pylist()]
-            evidence = [[{"id": own.keys[e], "toxic": own.toxic[e], "cosine": c} for c, e in near] for _, near in rows]
-            yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), pa.array([r[0] for r in rows], pa.float64()), pa.array(evidence, kind)], [*keep, "score", "evidence"])
+            near = [x for _, found in rows for x in found]
+            fields = [pa.array([own.keys[e] for _, e in near], pa.int64()), pa.array([own.toxic[e] for _, e in near], pa.int32()), pa.array([c for c, _ in near], pa.float64())]
+            ends = np.cumsum([0, *(len(found) for _, found in rows)]).astype(np.int32)
+            evidence = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+            yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), pa.array([r[0] for r in rows], pa.float64()), evidence], [*keep, "score", "evidence"])
 
     return source.mapInArrow(run, "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep) + "score double, evidence array<struct<id:long,toxic:int,cosine:double>>")
