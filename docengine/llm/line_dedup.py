@@ -8,8 +8,9 @@ end. If no segment i (from its end of the text) were spared with i edits or fewe
 many edits as segments, which is one too many; so the other text, not the shorter, has one of the segments at its place or
 at most i away. It looks there in its own class, and in the one below if a text of that class can be near. A shared key
 gives a candidate if lengths and words differ by no more than the edits explain, the words as far as one bit per class of
-words tells; that is tested inside the join, so most pairs that merely share a segment are never made. Candidates are
-verified by Spark's banded edit distance over code points.
+words tells; that is tested inside the join, so most pairs that merely share a segment are never made. Texts of which one
+key is that of many have their letters counted as well, for the same test. Candidates are verified by Spark's banded edit
+distance over code points.
 
 Of a text, the first occurrence stays (smallest doc_id, then position in the document). Texts are taken in the order of
 their first doc_id (ties: smaller text), and a text goes altogether if it is linked to one before it that stays; so what
@@ -33,6 +34,8 @@ from docengine.llm.common import bind, discard, free, materialize
 EDITS = ((16, 0), (32, 1), (64, 2), (1 << 30, 3))
 #: So many hashes of 8 bytes may be broadcast, after they are counted.
 BROADCAST_HASHES = 500_000
+#: A key that indexes so many texts has their letters counted, by which pairs of a large group that are not near are never made.
+CROWD = 64
 HAS_WORD = r"[^\x20\x09-\x0D]"
 LAST = (1 << 63) - 1
 
@@ -105,6 +108,14 @@ def close(a: Column, b: Column, threshold: int | Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= threshold * 3
 
 
+def letter_counts(line: Column) -> Column:
+    """The numbers of code points in 32 classes, modulo 4, as 2 bits of a Gray code each, so that a step of one is one bit."""
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 32 * 2)
+    added = lambda n, low: n.bitwiseXOR(low).bitwiseXOR(F.shiftleft(n.bitwiseAND(low), 1))
+    counts = F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda n, c: added(n, one(c)))
+    return bind(counts, lambda n: n.bitwiseXOR(F.shiftright(n, 1).bitwiseAND(F.lit(0x5555555555555555))))
+
+
 def within(a: Column, b: Column, threshold: int, edits: Column | None = None) -> Column:
     """Whether threshold edits turn a into b, or edits where they are given, threshold at most."""
     distance = F.levenshtein(a, b, threshold)  # banded; -1 beyond the threshold
@@ -126,19 +137,37 @@ def _texts(lines: DataFrame, threshold: int | None) -> DataFrame:
     return keyed.groupBy("h1", "h2", "length", "index", "probe", "words").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def _candidates(texts: DataFrame, threshold: int | None) -> DataFrame:
-    """Pairs a, b of h1 that share a key and whose lengths and words are close."""
+def _letters(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """h1 and letters of the texts that have a key of CROWD indexed texts or more; null where texts share h1."""
+    crowds = materialize(rows.where(F.col("tag") % 2 == 0).groupBy("key").count().where(F.col("count") >= CROWD).select("key"))
+    few = F.broadcast(crowds) if crowds.count() <= BROADCAST_HASHES else crowds
+    members = materialize(rows.join(few, "key", "left_semi").select("h1").distinct())
+    few = F.broadcast(members) if members.count() <= BROADCAST_HASHES else members
+    texts = lines.join(few, "h1", "left_semi").select("h1", "line").distinct().select("h1", letter_counts(F.col("line")).alias("letters"))
+    out = materialize(texts.groupBy("h1").agg(F.when(F.count(F.lit(1)) == 1, F.min("letters")).alias("letters")))
+    discard(crowds, members)
+    return out
+
+
+def _candidates(lines: DataFrame, texts: DataFrame, threshold: int | None) -> DataFrame:
+    """Pairs a, b of h1 that share a key and whose lengths, words and letters are close."""
     rows = texts.where(F.col("words").isNotNull()).select("h1", "words", "length", F.size("index").alias("own"), F.posexplode(F.concat("index", "probe")).alias("at", "key"))
     # the length and the role (1: probe) as one number
     rows = rows.where("key is not null").select("key", (F.col("length") * 2 + (F.col("at") >= F.col("own")).cast("int")).alias("tag"), "h1", "words")
+    letters = _letters(lines, rows)
+    rows = rows.join(F.broadcast(letters) if letters.count() <= BROADCAST_HASHES // 2 else letters, "h1", "left")
     # both sides are one exchange; the condition looks at both, so that it is not pushed below either
     left, right = rows.alias("l"), rows.alias("r")
     role = F.col("l.tag") % 2 * 2 + F.col("r.tag") % 2
     pair = ((role == 0) & (F.col("l.h1") < F.col("r.h1"))) | ((role == 1) & (F.col("l.h1") != F.col("r.h1")))
     one, two = F.shiftright("l.tag", 1), F.shiftright("r.tag", 1)
     edits = allowed(F.least(one, two), threshold)
-    alike = (F.abs(one - two) <= edits) & close(F.col("l.words"), F.col("r.words"), edits)
-    return left.join(right, (F.col("l.key") == F.col("r.key")) & pair & alike).select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct()
+    # an edit takes and gives a letter at most
+    spelt = F.coalesce(F.bit_count(F.col("l.letters").bitwiseXOR(F.col("r.letters"))) <= edits * 2, F.lit(True))
+    alike = (F.abs(one - two) <= edits) & close(F.col("l.words"), F.col("r.words"), edits) & spelt
+    pairs = materialize(left.join(right, (F.col("l.key") == F.col("r.key")) & pair & alike).select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct())
+    discard(letters)
+    return pairs
 
 
 def _links(lines: DataFrame, pairs: DataFrame, threshold: int | None) -> DataFrame:
@@ -184,7 +213,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int
     """
     lines = _lines(df, key, text)
     texts = materialize(_texts(lines, threshold))
-    pairs = materialize(_candidates(texts, threshold))
+    pairs = _candidates(lines, texts, threshold)
     near = _gone(_links(lines, pairs, threshold)).withColumn("near", F.lit(True))
     told = texts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
     # a table of its own, so that the join below is of two exchanges, of which the adaptive planner splits a hot line's

@@ -147,6 +147,41 @@ def test_parity_rules_out_no_link(spark):
     assert df.where(~line_dedup.close(line_dedup.word_parity(F.col("a")), line_dedup.word_parity(F.col("b")), 1)).count() == 0
 
 
+def test_letters_rule_out_no_link(spark):
+    rng = random.Random(7)
+    pairs = []
+    for _ in range(500):
+        a = "".join(rng.choices("aab cdé日", k=40))
+        b = a
+        for _ in range(3):
+            i = rng.randrange(len(b) + 1)
+            b = rng.choice([b[:i] + "a" + b[i:], b[:i] + b[i + 1 :], b[:i] + "😀" + b[i + 1 :], b[:i] + " " + b[i:]])
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    far = F.bit_count(line_dedup.letter_counts(F.col("a")).bitwiseXOR(line_dedup.letter_counts(F.col("b"))))
+    assert df.where(far > 6).count() == 0
+    assert df.select(F.bit_count(line_dedup.letter_counts(F.lit("xxxxx")).bitwiseXOR(line_dedup.letter_counts(F.lit("yyx")))).alias("n")).first().n == 2  # 5 and 1 alike modulo 4, 0 and 2
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_crowded_keys(spark, monkeypatch, few):
+    """Lines that share long parts, in keys that all have their letters counted."""
+    rng = random.Random(21)
+    base = ["".join(rng.choices("abcdefgh é", k=90)) for _ in range(4)]
+    lines = []
+    for _ in range(160):
+        x = rng.choice(base)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(x))
+            x = x[:i] + "".join(rng.choices("abcxyz", k=rng.choice([1, 1, 5]))) + x[i + rng.choice([0, 1, 5]) :]
+        lines.append(x)
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    if few:
+        monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", 0)
+    got = line_dedup.dedup(docs(spark, lines)).orderBy("doc_id").collect()
+    assert [(r.line_dedup.n_exact, r.line_dedup.n_near, r.text) for r in got] == [w[1:] for w in plain(list(enumerate(lines)))]
+
+
 def test_several_edits_by_length(spark):
     """Against all pairs, with lines on both sides of every border of EDITS and of classes."""
     rng = random.Random(11)
