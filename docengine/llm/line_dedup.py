@@ -137,9 +137,9 @@ def _texts(lines: DataFrame, threshold: int | None) -> DataFrame:
     return keyed.groupBy("h1", "h2", "length", "index", "probe", "words").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def _letters(lines: DataFrame, rows: DataFrame) -> DataFrame:
+def _letters(lines: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
     """h1 and letters of the texts that have a key of CROWD indexed texts or more; null where texts share h1."""
-    crowds = materialize(rows.where(F.col("tag") % 2 == 0).groupBy("key").count().where(F.col("count") >= CROWD).select("key"))
+    crowds = materialize(texts.select(F.explode("index").alias("key")).where("key is not null").groupBy("key").count().where(F.col("count") >= CROWD).select("key"))
     few = F.broadcast(crowds) if crowds.count() <= BROADCAST_HASHES else crowds
     members = materialize(rows.join(few, "key", "left_semi").select("h1").distinct())
     few = F.broadcast(members) if members.count() <= BROADCAST_HASHES else members
@@ -151,11 +151,12 @@ def _letters(lines: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame, texts: DataFrame, threshold: int | None) -> DataFrame:
     """Pairs a, b of h1 that share a key and whose lengths, words and letters are close."""
-    rows = texts.where(F.col("words").isNotNull()).select("h1", "words", "length", F.size("index").alias("own"), F.posexplode(F.concat("index", "probe")).alias("at", "key"))
+    rows = texts.where(F.col("words").isNotNull()).select("h1", "words", "length", "index", F.size("index").alias("own"), F.posexplode(F.concat("index", "probe")).alias("at", "key"))
     # the length and the role (1: probe) as one number
-    rows = rows.where("key is not null").select("key", (F.col("length") * 2 + (F.col("at") >= F.col("own")).cast("int")).alias("tag"), "h1", "words")
-    letters = _letters(lines, rows)
+    rows = rows.where("key is not null").select("key", (F.col("length") * 2 + (F.col("at") >= F.col("own")).cast("int")).alias("tag"), "h1", "words", "index")
+    letters = _letters(lines, texts, rows.drop("index"))
     rows = rows.join(F.broadcast(letters) if letters.count() <= BROADCAST_HASHES // 2 else letters, "h1", "left")
+    rows = rows.withColumn("index", F.when(F.col("letters").isNotNull(), F.array_compact("index")))
     # both sides are one exchange; the condition looks at both, so that it is not pushed below either
     left, right = rows.alias("l"), rows.alias("r")
     role = F.col("l.tag") % 2 * 2 + F.col("r.tag") % 2
@@ -164,7 +165,9 @@ def _candidates(lines: DataFrame, texts: DataFrame, threshold: int | None) -> Da
     edits = allowed(F.least(one, two), threshold)
     # an edit takes and gives a letter at most
     spelt = F.coalesce(F.bit_count(F.col("l.letters").bitwiseXOR(F.col("r.letters"))) <= edits * 2, F.lit(True))
-    alike = (F.abs(one - two) <= edits) & close(F.col("l.words"), F.col("r.words"), edits) & spelt
+    # texts that share several segments are a pair at the first of them
+    once = F.coalesce((role != 0) | (F.get(F.array_intersect("l.index", "r.index"), F.lit(0)) == F.col("l.key")), F.lit(True))
+    alike = (F.abs(one - two) <= edits) & close(F.col("l.words"), F.col("r.words"), edits) & spelt & once
     pairs = materialize(left.join(right, (F.col("l.key") == F.col("r.key")) & pair & alike).select(F.col("l.h1").alias("a"), F.col("r.h1").alias("b")).distinct())
     discard(letters)
     return pairs
