@@ -53,6 +53,11 @@ RANGES, BUCKETS, BUCKET_ENTRIES = 8, 2, 10_000_000
 SPLIT = 50_000
 #: Meetings of more nodes are not expanded to all pairs at first; each member meets so many of them.
 ALL_PAIRS, CENTRES = 64, 4
+#: Pairs that one step of counting makes, and that are held before they are summed.
+STEP_PAIRS, HELD_PAIRS = 250_000, 1_000_000
+#: Files for each core of a table that texts or prefixes are made into, and rows of the others' files. Each partition would
+#: write one, so tables of a few hundred rows would take hundreds of files and tasks.
+FILES, FILE_ROWS = 4, 500_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 #: So many bytes of wanted nodes, with the cells that ask for them, may be broadcast, after they are summed.
@@ -123,6 +128,12 @@ def _first(nodes: np.ndarray) -> np.ndarray:
     return _mixed(nodes.copy())
 
 
+def _files(df: DataFrame, rows: int | None = None) -> int:
+    """Into how many files a table goes: FILES for each core, or by its rows, one for each core at least."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return FILES * cores if rows is None else max(cores, math.ceil(rows / FILE_ROWS))
+
+
 def _described(docs: DataFrame) -> DataFrame:
     """Rows (doc, same, size, node) of documents, and rows (hash, count) of shingles frequent within a part of a task."""
     names = ["doc", "same", "size", "node", "hash", "count"]
@@ -277,11 +288,11 @@ def _met(rows: np.ndarray, all_pairs: int, dealt: bool) -> tuple[np.ndarray, np.
     for n in np.unique(counts[few]):
         i, j = np.triu_indices(n, 1)
         groups = starts[few[counts[few] == n]][:, None]
-        for part in np.array_split(groups, max(1, len(groups) * len(i) // 1_000_000)):
+        for part in np.array_split(groups, max(1, len(groups) * len(i) // STEP_PAIRS)):
             a, b = (part + i).ravel(), (part + j).ravel()
             fine = room(size[a], rank[a], size[b], rank[b])
             found.append(_pairs(node[a[fine]], node[b[fine]], size[a[fine]], size[b[fine]]))
-        if sum(map(len, found)) > 4_000_000:
+        if sum(map(len, found)) > HELD_PAIRS:
             found = [_summed(np.concatenate(found))]
     for g in np.flatnonzero(counts > all_pairs):
         at = np.arange(starts[g], starts[g] + counts[g])
@@ -365,10 +376,10 @@ def _unmet(members: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
             keys, blobs = keys + k, blobs + x
         return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
 
-    placed = materialize(members.join(state.select("node", F.col("label.node").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    placed = materialize(members.join(state.select("node", F.col("label.node").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")), _files(members))
     per = placed.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("n"), F.collect_set("share").alias("shares"))
     per = per.groupBy("hash").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.array_distinct(F.flatten(F.collect_list("shares"))).alias("shares"))
-    split = materialize(per.where("labels > 1").select("hash", "largest", "shares"))
+    split = materialize(per.where("labels > 1").select("hash", "largest", "shares"), _files(members))
     met = placed.join(split, "hash").withColumn("main", F.col("label") == F.col("largest"))
     there = met.select("hash", "share", "node", "size", "rank", "label", "main", F.lit(False).alias("turn"))
     turns = met.where("not main").select("hash", F.explode("shares").alias("share"), "node", "size", "rank", "label", "main", F.lit(True).alias("turn"))
@@ -483,7 +494,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, ranges:
     """
     asked = candidates.where("pairs is not null").select("bucket", "pairs")
     cells = candidates.where("node is not null").groupBy("node").agg(F.collect_set("bucket").alias("cells"))
-    wanted = materialize(nodes.join(cells, "node").select("node", "doc", "same", "cells"))
+    wanted = materialize(nodes.join(cells, "node").select("node", "doc", "same", "cells"), _files(docs))
     held = wanted.agg(F.coalesce(F.sum(F.size("cells") * 4 + 40), F.lit(0))).first()[0]
     few = F.broadcast(wanted) if held <= BROADCAST_BYTES else wanted
     parts = _parts(docs.join(few, ["doc", "same"]).select("node", "text", "cells"), ranges)
@@ -498,16 +509,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node's own and its neighbours', and then the label of the label's node,
     so that long chains halve; it ends when no label falls.
     """
-    both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b"), F.col("a"))).distinct())
+    files = _files(links, 2 * links.count())
+    both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b"), F.col("a"))).distinct(), files)
     label = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("node").alias("node"))
-    state = materialize(both.select("node").distinct().join(nodes.select("node", "doc"), "node").select("node", label.alias("label")))
+    state = materialize(both.select("node").distinct().join(nodes.select("node", "doc"), "node").select("node", label.alias("label")), files)
     while True:
         near = both.join(state.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         step = state.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label")).alias("label"))
-        step = materialize(step)  # so that the next join is of two exchanges, which can be split where a component is large
+        step = materialize(step, files)  # so that the next join is of two exchanges, which can be split where a component is large
         jump = step.select(F.col("node").alias("far"), F.col("label").alias("farther"))
         step = step.join(jump, F.col("label.node") == F.col("far"), "left").select("node", "old", F.least("label", F.coalesce("farther", "label")).alias("label"))
-        step = materialize(step)
+        step = materialize(step, files)
         state = step.select("node", "label")
         if step.where("old != label").limit(1).count() == 0:
             return state
@@ -531,29 +543,30 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: i
     spark = df.sparkSession
     own, last = F.col(f"`{text}`"), F.lit((1 << 63) - 1)
     docs = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), last).alias("doc"), F.xxhash64(own).alias("same"), own.alias("text"))
-    described = materialize(_described(docs))
+    described = materialize(_described(docs), _files(docs))
     rows = described.where("hash is null").select("doc", "same", "size", "node")
     first = F.min(F.struct("doc", "same")).alias("first")
-    nodes = materialize(rows.where("node is not null").groupBy("node").agg(first, F.max("size").alias("size")).select("node", "first.doc", "first.same", "size"))
+    files = _files(docs, rows.count())
+    nodes = materialize(rows.where("node is not null").groupBy("node").agg(first, F.max("size").alias("size")).select("node", "first.doc", "first.same", "size"), files)
     entries, total = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") / 4) + 1), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     # a prefix holds the lowest quarter of a set's hashes, so a quarter of the fragments take nearly all of them
     bits = max(0, math.ceil(math.log2(max(1, 4 * entries / FRAGMENT_ENTRIES))))
     buckets = max(BUCKETS, math.ceil(entries / BUCKET_ENTRIES))
     ranges = min(64, max(RANGES, math.ceil(8 * total / (buckets * CELL_BYTES))))
-    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described, bits, split), bits), all_pairs, buckets, bits))
+    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described, bits, split), bits), all_pairs, buckets, bits), _files(docs))
     pairs, members = met.where("pairs is not null").select("bucket", "pairs"), met.where("hash is not null").select("hash", "share", "node", "size", "rank")
-    links = materialize(_verified(docs, nodes, materialize(_candidates(pairs, crossed=False)), ranges))
+    links = materialize(_verified(docs, nodes, materialize(_candidates(pairs, crossed=False), _files(docs)), ranges), _files(docs))
     state = components(nodes, links)
-    rest = materialize(_unmet(members, state, buckets))
+    rest = materialize(_unmet(members, state, buckets), _files(docs))
     if rest.limit(1).count():
-        more = _verified(docs, nodes, materialize(_candidates(pairs.union(rest), crossed=True)), ranges)
-        state = components(nodes, links.union(materialize(more)))
+        more = _verified(docs, nodes, materialize(_candidates(pairs.union(rest), crossed=True), _files(docs)), ranges)
+        state = components(nodes, links.union(materialize(more, _files(docs))))
     smallest = nodes.join(state, "node", "left").select("node", F.coalesce("label.doc", "doc").alias("component"))
     # a table of its own, so that the join below is of two exchanges, of which the adaptive planner splits a large group's
-    smallest = materialize(smallest)
+    smallest = materialize(smallest, files)
     placed = rows.join(smallest, "node", "left").withColumn("component", F.coalesce("component", "doc"))
     known = lambda c: F.when(F.col(c) != last, F.col(c)).alias(c)
-    return placed.select(known("doc"), "same", "size", known("component"))
+    return placed.select(known("doc"), "same", "size", known("component")).coalesce(_files(docs))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -563,4 +576,4 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     told = classes(df, key, text).distinct().select(F.col("doc").alias(doc), F.col("same").alias(same), F.struct(F.col("size").alias("n_shingles"), "component").alias("ngram_join"))
     rows = df.select(*(f"`{c}`" for c in mine), F.col(f"`{key}`").cast("long").alias(own_key), F.xxhash64(F.col(f"`{text}`")).alias(own_hash))
     met = rows.join(told, F.col(own_key).eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(same)), "left")
-    return met.select(*(f"`{c}`" for c in mine), "ngram_join")
+    return met.select(*(f"`{c}`" for c in mine), "ngram_join").coalesce(_files(df))

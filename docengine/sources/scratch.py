@@ -49,10 +49,20 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again."""
+def _plain(path: str) -> dict[str, str]:
+    """Options by which a local folder gets files without checksums beside them.
+
+    Where Hadoop has no native library, it sets modes by starting chmod, three times for a file with checksums and its folder;
+    while the executor's JVM starts a process, its memory counts twice.
+    """
+    local = path.startswith("file:") or path.startswith("/")
+    return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"} if local else {}
+
+
+def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder, into that many files at most, and reads it again."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.options(**_plain(path)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -19,6 +19,14 @@ def test_tables_go_with_their_scope(spark):
     assert not os.path.exists(kept._scratch_path.removeprefix("file:")) and not os.path.exists(other._scratch_path.removeprefix("file:"))
 
 
+def test_few_files_without_checksums(spark):
+    kept = scratch.materialize(spark.range(100, numPartitions=20), files=3)
+    names = os.listdir(kept._scratch_path.removeprefix("file:"))
+    assert sum(n.startswith("part-") for n in names) == 3 and not any(n.endswith(".crc") for n in names)
+    assert sorted(r.id for r in kept.collect()) == list(range(100))
+    scratch.discard(kept)
+
+
 def test_no_local_folder_on_a_cluster():
     class Conf:
         def get(self, name):

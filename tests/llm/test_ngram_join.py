@@ -156,6 +156,25 @@ def test_shuffled_verification(spark, monkeypatch):
     same(spark, corpus(random.Random(5), 120))
 
 
+def test_small_tables_take_few_files(spark, monkeypatch):
+    made, own = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda *a: made.append(own(*a)) or made[-1])
+    options = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        texts = corpus(random.Random(8), 300)
+        found = ngram_join.classes(docs(spark, texts, start=0))
+        got = {r.doc: (r.size, r.component) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == plain(enumerate(texts))
+    most = ngram_join.FILES * spark.sparkContext.defaultParallelism
+    assert max(len(df.inputFiles()) for df in made) <= most < 40 and found.rdd.getNumPartitions() <= most
+
+
 def test_names_that_clash(spark):
     df = docs(spark, ["one two three four five six"] * 2).withColumnsRenamed({"lang": "_nj_key", "source": "doc", "n_chars": "Hash"})
     out = ngram_join.join(df)
