@@ -27,6 +27,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class Index:
     def __init__(self, terms: dict[str, float], examples: list[tuple[dict[int, float], int, int]], weights: dict[int, float], empty: float):
         """terms: IDF times emphasis; examples: (vector, label, key), in the order of blocks."""
         self.ids = {t: i for i, t in enumerate(sorted(terms))}
-        self.idf = [terms[t] for t in sorted(terms)]
+        self.idf = np.array([terms[t] for t in sorted(terms)], np.float64)
         self.empty, self.weights = empty, weights
         self.keys = [k for _, _, k in examples]
         self.toxic = [y for _, y, _ in examples]
@@ -102,30 +103,44 @@ class Index:
             own = slice(places[t], places[t + 1])
             flat[self.example[own], i] = self.weight[own]
         self.columns = flat.reshape(self.blocks, BLOCK, len(common))
+        self.column_most = self.columns.max(axis=1)
+
+    def weighed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms and weights of the unit vector; none without terms."""
+        found = Counter(tokens(text))
+        terms = np.fromiter(map(self.ids.get, found, repeat(-1)), np.int64, len(found))
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        known = terms >= 0
+        terms, counts = terms[known], counts[known]
+        weights = self.idf[terms]
+        often = np.flatnonzero(counts > 1)
+        weights[often] *= 1 + np.log(counts[often])
+        size = math.sqrt(weights @ weights)
+        return (terms, weights / size) if size else (terms[:0], weights[:0])
 
     def vector(self, text: str | None) -> dict[int, float]:
         """The unit vector; empty without terms."""
-        ids, idf, raw = self.ids, self.idf, {}
-        for word, n in Counter(tokens(text)).items():
-            i = ids.get(word)
-            if i is not None:
-                raw[i] = (1 + math.log(n)) * idf[i] if n > 1 else idf[i]
-        size = math.sqrt(sum(w * w for w in raw.values()))
-        return {i: w / size for i, w in raw.items()} if size else {}
+        terms, weights = self.weighed(text)
+        return dict(zip(terms.tolist(), weights.tolist()))
 
     def nearest(self, vector: dict[int, float], k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a positive cosine, highest first, ties by example."""
-        terms, q = np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector))
+        return self.nearest_to(np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), np.float64, len(vector)), k, without)
+
+    def nearest_to(self, terms: np.ndarray, q: np.ndarray, k: int = K, without: int = -1) -> list[tuple[float, int]]:
+        """nearest() of these terms and weights."""
         if self.columns is None:
             self._with_columns()
         column = self.column[terms]
+        common = column >= 0
         across = np.zeros(self.columns.shape[2])
-        across[column[column >= 0]] = q[column >= 0]
+        across[column[common]] = q[common]
+        terms = terms[~common]
         first = self.term_start[terms]
         counts = self.term_start[terms + 1] - first
-        cells, of = _gathered(first, counts), np.repeat(q, counts)
-        block, listed = self.cell_block[cells], np.repeat(column < 0, counts)
-        bound = np.bincount(block, of * self.cell_most[cells], minlength=self.blocks)
+        cells, of = _gathered(first, counts), np.repeat(q[~common], counts)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, of * self.cell_most[cells], minlength=self.blocks) + self.column_most @ across
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
@@ -140,12 +155,14 @@ class Index:
             self.read += len(part)
             wanted = np.zeros(self.blocks, bool)
             wanted[part] = True
-            hit = wanted[block] & listed
+            hit = wanted[block]
             start = self.cell_start[cells[hit]]
             sizes = self.cell_start[cells[hit] + 1] - start
             places = _gathered(start, sizes)
-            cos = np.bincount(self.example[places], self.weight[places] * np.repeat(of[hit], sizes), minlength=self.blocks * BLOCK).astype(np.float64)
-            cos.reshape(self.blocks, BLOCK)[part] += self.columns[part] @ across
+            cos = np.bincount(self.example[places], self.weight[places] * np.repeat(of[hit], sizes), minlength=self.blocks * BLOCK).astype(np.float64, copy=False)
+            by_block = cos.reshape(self.blocks, BLOCK)
+            for b in part.tolist():  # one by one, as an index of several would copy their columns
+                by_block[b] += self.columns[b] @ across
             if without >= 0:
                 cos[without] = 0.0
             there = np.flatnonzero(cos > 0)
@@ -182,8 +199,8 @@ class Index:
         return float(np.interp(vote, [b[0] for b in self.bins], [b[1] for b in self.bins]))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        vector = self.vector(text)
-        near = self.nearest(vector) if vector else []
+        terms, weights = self.weighed(text)
+        near = self.nearest_to(terms, weights) if len(terms) else []
         if not near:
             return self.empty, []
         return min(max(self.probability(self.vote(near)), 0.0), 1.0), near

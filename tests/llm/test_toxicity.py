@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -59,6 +60,23 @@ def plain_score(index, held, text):
     return min(max(index.probability(index.vote(near)), 0.0), 1.0) if near else index.empty
 
 
+def test_columns_are_not_copied():
+    rng = random.Random(5)
+    terms = {f"t{i:03}": 1.0 for i in range(200)}
+    examples = [({t: rng.random() for t in rng.sample(range(200), 150)}, e % 2, e) for e in range(1280)]
+    index = toxicity.Index(terms, [({t: w / math.hypot(*v.values()) for t, w in v.items()}, y, e) for v, y, e in examples], {0: 1.0, 1: 1.0}, 0.0)
+    text = " ".join(f"t{i:03}" for i in range(0, 200, 3))
+    want = index.nearest(index.vector(text))
+    index.read = 0
+    tracemalloc.start()
+    got = index.score(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and index.read > index.blocks // 2 and peak < index.columns.nbytes / 4
+    cos = dense(index) @ np.array([float(f"t{i:03}" in text) for i in range(200)])
+    assert [e for _, e in got] == np.argsort(-cos, kind="stable")[: toxicity.K].tolist()
+
+
 def test_nearest_is_exact(fitted):
     texts, _, _, index = fitted
     held = dense(index)
