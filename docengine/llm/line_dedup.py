@@ -125,14 +125,18 @@ def within(a: Column, b: Column, threshold: int, edits: Column | None = None) ->
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """doc (the id, null last), same (tells rows with equal ids apart), pos, line, h1, h2 of lines with a word."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("same"), F.split(F.col(f"`{text}`"), "\n", -1).alias("all"))
-    lines = docs.select(F.coalesce("doc", F.lit(LAST)).alias("doc"), "same", F.posexplode("all").alias("pos", "line")).where(F.col("line").rlike(HAS_WORD))
+    # outer, as for an inner one Spark adds a filter that splits the text twice more; a null text's row has no line and goes
+    lines = docs.select(F.coalesce("doc", F.lit(LAST)).alias("doc"), "same", F.posexplode_outer("all").alias("pos", "line")).where(F.col("line").rlike(HAS_WORD))
     return lines.select("doc", "same", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
 def _texts(lines: DataFrame, threshold: int | None) -> DataFrame:
     """Per text: h1, h2, first (smallest doc), n, length, and for texts that can have links words (their parity), index and probe keys."""
     known = lines.select("doc", "h1", "h2", "line", F.length("line").alias("length"))
-    words = F.when(F.size("index") > 0, word_parity(F.col("line"))).alias("words")
+    # told by the length, not by the index: so all are one projection, which Spark compiles in parts, as it does where a lambda
+    # is evaluated; the keys alone became one method that is too long for the JVM to compile
+    held = allowed(class_of(F.col("length"), most(threshold)), threshold) > 0
+    words = F.when(held, word_parity(F.col("line"))).alias("words")
     keyed = with_keys(known, threshold).select("doc", "h1", "h2", "length", "index", "probe", words)
     return keyed.groupBy("h1", "h2", "length", "index", "probe", "words").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
 

@@ -221,3 +221,12 @@ def test_names_that_clash(spark):
     df = docs(spark, ["one line", "one line"]).withColumnsRenamed({"lang": "doc_", "source": "_ld_doc", "n_chars": "hash"})
     out = line_dedup.dedup(df.withColumn("Gone", F.lit(1)).withColumn("least", F.lit(2)))
     assert sorted(r.text for r in out.collect()) == ["", "one line"]
+
+
+def test_texts_are_split_once(spark):
+    lines = line_dedup._lines(docs(spark, ["a b\nc", None, "", "\n"]), "doc_id", "text")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "size(split(" not in plan(lines) and sorted(r.line for r in lines.collect()) == ["a b", "c"]
+    # keys beside the lambda of the words' parity: a projection that is compiled in parts
+    keys = next(x for x in plan(line_dedup._texts(lines, None)).split("+- ") if "xxhash64(0, least" in x)
+    assert "aggregate(split(" in keys
