@@ -9,7 +9,7 @@ from tests.llm.test_ngram_join import plain as plain_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docengine.llm import mixing, quality
+from docengine.llm import mixing, ngram_join, quality
 from docengine.llm.queries import tokenizer_path
 
 
@@ -68,3 +68,17 @@ def test_edges(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), sf_dir).count() == 0
         stage(spark, df, sf_dir).collect()
+
+
+def test_groups_stage_writes_few_files(spark, sf_dir):
+    options = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        kept = corpus_pipeline.one_of_near_copies(spark, docs, sf_dir)
+        assert kept.rdd.getNumPartitions() <= ngram_join.FILES * spark.sparkContext.defaultParallelism < 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
