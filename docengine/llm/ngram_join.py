@@ -8,8 +8,8 @@ node; the rest of the work is on nodes. Two nodes link when their sets' Jaccard
    hash. The order only steers the work; any order gives the same links.
 2. By that order, nodes that link share much of their prefixes (the first quarter of a set). A second pass cuts the order
    into fragments by ranges of hashes and sends each prefix entry, packed with others, to its fragment. Each fragment
-   counts, for the pairs that meet in it, how many prefix shingles they share; the counts are summed per pair. What lies
-   beyond the prefixes adds a known amount at most, so the sum tells which pairs can link at all. A meeting of more than
+   counts, for the pairs that meet in it, how many prefix shingles they share. Pairs are counted, then dealt by both nodes to
+   units of UNIT_PAIRS on average, whatever the corpus makes of its shingles, and summed there per pair. What lies beyond the prefixes adds a known amount at most, so the sum tells which pairs can link at all. A meeting of more than
    ALL_PAIRS nodes is not expanded: each member is paired with the first CENTRES of a fixed order, and the meeting is kept
    for step 4, which makes up for the counts that are missing so. A shingle that more than SPLIT documents have is dealt to
    several tasks, by node and shingle, so that a group of near copies of any size is bounded in each.
@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from docengine.llm.common import free, materialize, small
 
 SHINGLE, NUMERATOR = 5, 75
-#: Shingles that are last in the order: at most HEAVY, each counted LOCAL times or more in some part of a task's input.
-HEAVY, LOCAL = 1 << 18, 8
+#: Shingles that are last in the order: at most HEAVY, each counted LOCAL times or more in some part of a task's input. Parts
+#: hold some thousand documents, so a shingle that is in hundreds of documents of millions is rarely more than twice in one.
+HEAVY, LOCAL = 1 << 18, 2
 #: Shingles that a task holds before it counts them, and prefix entries before it sends them on.
 HELD, PACKED = 1 << 21, 1 << 19
 #: Entries, and members of kept meetings, that a fragment gets on average; bytes of all sets for each range and bucket.
@@ -53,8 +54,11 @@ RANGES, BUCKETS, BUCKET_ENTRIES = 8, 2, 10_000_000
 SPLIT = 50_000
 #: Meetings of more nodes are not expanded to all pairs at first; each member meets so many of them.
 ALL_PAIRS, CENTRES = 64, 4
-#: Pairs that one step of counting makes, and that are held before they are summed.
-STEP_PAIRS, HELD_PAIRS = 250_000, 1_000_000
+#: Pairs that one step of counting makes, that are held before they are summed, and that go into a row. Readers take
+#: thousands of rows at a time, so rows are of a few KB.
+STEP_PAIRS, HELD_PAIRS, ROW_PAIRS = 250_000, 1_000_000, 128
+#: Pairs, not yet summed, that one unit gets on average.
+UNIT_PAIRS = 500_000
 #: Files for each core of a table that texts or prefixes are made into, and rows of the others' files. Each partition would
 #: write one, so tables of a few hundred rows would take hundreds of files and tasks.
 FILES, FILE_ROWS = 4, 500_000
@@ -275,59 +279,76 @@ def possible(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.int64) + np.maximum(a - _prefixes_of(a), b - _prefixes_of(b)) >= needed(a, b)
 
 
-def _met(rows: np.ndarray, all_pairs: int, dealt: bool) -> tuple[np.ndarray, np.ndarray]:
-    """From one fragment's entries: its pairs with their counts, and places of the members of kept meetings.
+def _met(rows: np.ndarray, all_pairs: int, dealt: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From one fragment's entries: pairs with their counts, and places of the members of kept meetings, in parts.
 
-    dealt: the fragment is a share of one shingle, whose meeting goes on in other shares and so is always kept.
+    A pair may be in several parts. dealt: the fragment is a share of one shingle, whose meeting goes on in other shares and
+    so is always kept.
     """
     node, size, rank = rows["node"], rows["size"].astype(np.int64), rows["rank"].astype(np.int64)
     starts = np.flatnonzero(np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]) if len(rows) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[starts, len(rows)])
-    few = np.flatnonzero((counts > 1) & (counts <= all_pairs))
-    found, kept = [np.zeros(0, PAIR)], [np.zeros(0, np.int64)]
-    for n in np.unique(counts[few]):
-        i, j = np.triu_indices(n, 1)
-        groups = starts[few[counts[few] == n]][:, None]
-        for part in np.array_split(groups, max(1, len(groups) * len(i) // STEP_PAIRS)):
-            a, b = (part + i).ravel(), (part + j).ravel()
-            fine = room(size[a], rank[a], size[b], rank[b])
-            found.append(_pairs(node[a[fine]], node[b[fine]], size[a[fine]], size[b[fine]]))
-        if sum(map(len, found)) > HELD_PAIRS:
+
+    def steps() -> Iterator[np.ndarray]:
+        few = np.flatnonzero((counts > 1) & (counts <= all_pairs))
+        for n in np.unique(counts[few]):
+            i, j = np.triu_indices(n, 1)
+            groups = starts[few[counts[few] == n]][:, None]
+            for part in np.array_split(groups, max(1, len(groups) * len(i) // STEP_PAIRS)):
+                a, b = (part + i).ravel(), (part + j).ravel()
+                fine = room(size[a], rank[a], size[b], rank[b])
+                yield _pairs(node[a[fine]], node[b[fine]], size[a[fine]], size[b[fine]])
+        for g in np.flatnonzero(counts > all_pairs):
+            at = np.arange(starts[g], starts[g] + counts[g])
+            for c in at[np.argsort(_first(node[at]), kind="stable")[:CENTRES]]:
+                yield _pairs(np.full(len(at), node[c]), node[at], np.full(len(at), size[c]), size[at])
+
+    found, held = [np.zeros(0, PAIR)], 0
+    for pairs in steps():
+        found.append(pairs)
+        held += len(pairs)
+        if held > HELD_PAIRS:
             found = [_summed(np.concatenate(found))]
-    for g in np.flatnonzero(counts > all_pairs):
-        at = np.arange(starts[g], starts[g] + counts[g])
-        for c in at[np.argsort(_first(node[at]), kind="stable")[:CENTRES]]:
-            found.append(_pairs(np.full(len(at), node[c]), node[at], np.full(len(at), size[c]), size[at]))
-        kept.append(at)
-    if dealt:
-        kept = [np.arange(len(rows))]
-    return _summed(np.concatenate(found)), np.concatenate(kept)
+            held = len(found[0])
+            if 2 * held > HELD_PAIRS:
+                yield found.pop(), np.zeros(0, np.int64)
+                found, held = [np.zeros(0, PAIR)], 0
+    yield _summed(np.concatenate(found)), np.flatnonzero(np.repeat(dealt | (counts > all_pairs), counts))
 
 
-def _bucketed(pairs: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+def _bucketed(pairs: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets with their pairs, by the pairs' owners."""
     bucket = (_first(pairs["a"]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     pairs, bucket = pairs[order], bucket[order]
     keys, starts = np.unique(bucket, return_index=True)
-    return keys.tolist(), [pairs[x:y].tobytes() for x, y in zip(starts, [*starts[1:], len(pairs)])]
+    yield from zip(keys.tolist(), (pairs[x:y] for x, y in zip(starts, [*starts[1:], len(pairs)])))
+
+
+def _rows(pairs: np.ndarray) -> pa.RecordBatch:
+    """Packed pairs (pairs, n), ROW_PAIRS to a row."""
+    parts = [pairs[x : x + ROW_PAIRS] for x in range(0, len(pairs), ROW_PAIRS)]
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([len(x) for x in parts], pa.int64())], ["pairs", "n"])
 
 
-def _meetings(prefixes: DataFrame, all_pairs: int, buckets: int, bits: int) -> DataFrame:
-    """Packed pairs (bucket, pairs), and members (hash, share, node, size, rank) of the meetings that were not expanded."""
+def _meetings(prefixes: DataFrame, all_pairs: int, bits: int) -> DataFrame:
+    """Packed pairs (pairs, n), and members (hash, share, node, size, rank) of the meetings that were not expanded."""
+    names = ["hash", "share", "node", "size", "rank"]
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        fragment = table.column("fragment")[0].as_py()
         rows = _sorted(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY))
-        pairs, kept = _met(rows, all_pairs, table.column("fragment")[0].as_py() >= 1 << bits)
-        keys, blobs = _bucketed(pairs, buckets)
-        n, m = len(keys), len(kept)
-        none = pa.nulls(n, pa.int64())
-        first = [pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none, none]
-        share = np.full(m, table.column("fragment")[0].as_py(), np.int64)
-        members = [_signed(rows["hash"][kept].copy()), share, _signed(rows["node"][kept].copy()), rows["size"][kept].astype(np.int64), rows["rank"][kept].astype(np.int64)]
-        second = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, members)]
-        return pa.table([pa.chunked_array([x, y]) for x, y in zip(first, second)], ["bucket", "pairs", "hash", "share", "node", "size", "rank"])
+        del table
+        for pairs, kept in _met(rows, all_pairs, fragment >= 1 << bits):
+            packed, m = _rows(pairs), len(kept)
+            if packed.num_rows:
+                yield pa.RecordBatch.from_arrays([*packed.columns, *[pa.nulls(packed.num_rows, pa.int64())] * 5], ["pairs", "n", *names])
+            if m:
+                members = [_signed(rows["hash"][kept].copy()), np.full(m, fragment, np.int64), _signed(rows["node"][kept].copy()), rows["size"][kept].astype(np.int64), rows["rank"][kept].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *map(pa.array, members)], ["pairs", "n", *names])
 
-    return prefixes.groupBy("fragment").applyInArrow(run, "bucket int, pairs binary, hash long, share long, node long, size long, rank long")
+    return prefixes.groupBy("fragment").applyInArrow(run, "pairs binary, n long, hash long, share long, node long, size long, rank long")
 
 
 def _crossed(rows: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
@@ -361,20 +382,18 @@ def _crossed(rows: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _unmet(members: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
-    """Packed pairs (bucket, pairs) of members of kept meetings that are in different components."""
+def _unmet(members: DataFrame, state: DataFrame) -> DataFrame:
+    """Packed pairs (pairs, n) of members of kept meetings that are in different components."""
     names = ("hash", "share", "node", "size", "rank", "label", "main", "turn")
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         rows = {c: np.array(table.column(c).to_pylist(), bool) if c in ("main", "turn") else table.column(c).to_numpy() for c in names}
         order = np.lexsort((rows["share"], rows["hash"]))
         rows = {c: v[order] for c, v in rows.items()}
         rows["node"] = rows["node"].view(np.uint64)
-        keys, blobs = [], []
         for pairs in _crossed(rows):
-            k, x = _bucketed(_summed(pairs), buckets)
-            keys, blobs = keys + k, blobs + x
-        return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
+            yield _rows(_summed(pairs))
 
     placed = materialize(members.join(state.select("node", F.col("label.node").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")), _files(members))
     per = placed.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("n"), F.collect_set("share").alias("shares"))
@@ -385,18 +404,41 @@ def _unmet(members: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     turns = met.where("not main").select("hash", F.explode("shares").alias("share"), "node", "size", "rank", "label", "main", F.lit(True).alias("turn"))
     fragments = max(1, math.ceil(placed.count() / FRAGMENT_MEMBERS))
     fragment = F.pmod(F.xxhash64("hash", "share"), F.lit(fragments)).alias("fragment")
-    return there.union(turns).select(fragment, *names).groupBy("fragment").applyInArrow(run, "bucket int, pairs binary")
+    return there.union(turns).select(fragment, *names).groupBy("fragment").applyInArrow(run, "pairs binary, n long")
+
 
+def _units(packed: DataFrame) -> DataFrame:
+    """Packed pairs (unit, pairs), dealt by both nodes to as many units as their number asks for."""
+    units = max(1, math.ceil(packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / UNIT_PAIRS))
 
-def _candidates(packed: DataFrame, crossed: bool) -> DataFrame:
-    """Per bucket: the packed pairs whose summed counts allow a link, and the nodes that they need.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        total = 0
+
+        def send() -> pa.RecordBatch:
+            pairs = np.concatenate(held)
+            return _packed((_mixed(_first(pairs["a"]) ^ pairs["b"]) % np.uint64(units)).astype(np.int32), pairs, ("unit", "pairs"))
+
+        for b in small(batches):
+            held.append(np.frombuffer(b"".join(b.column(0).to_pylist()), PAIR))
+            total += len(held[-1])
+            if total >= HELD_PAIRS:
+                yield send()
+                held, total = [], 0
+        if held:
+            yield send()
+
+    return packed.select("pairs").mapInArrow(run, "unit int, pairs binary")
+
+
+def _candidates(packed: DataFrame, crossed: bool, buckets: int) -> DataFrame:
+    """Per unit and bucket: the packed pairs whose summed counts allow a link, and the nodes that they need.
 
     crossed: only pairs of different components that the first time did not verify.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        every = np.frombuffer(b"".join(table.column("pairs").to_pylist()), PAIR)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.frombuffer(b"".join(x.as_py() for b in batches for x in b.column("pairs")), PAIR)
         pairs = _summed(every)
         fine = possible(pairs, pairs["count"])
         if crossed and len(pairs):
@@ -410,13 +452,19 @@ def _candidates(packed: DataFrame, crossed: bool) -> DataFrame:
                 one, two = np.minimum(order[same], order[same + 1]), np.maximum(order[same], order[same + 1]) - len(pairs)
                 once[one] = before["count"][two]
             fine &= (pairs["crossed"] > 0) & ~possible(pairs, once)
-        pairs = pairs[fine]
-        nodes = _signed(np.unique(np.concatenate([pairs["a"], pairs["b"]])))
-        n = len(nodes)
-        first = [pa.array([bucket] * (n + 1), pa.int32()), pa.array([pairs.tobytes()] + [None] * n, pa.binary()), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(nodes)])]
-        return pa.table(first, ["bucket", "pairs", "node"])
+        for bucket, own in _bucketed(pairs[fine], buckets):
+            nodes = _signed(np.unique(np.concatenate([own["a"], own["b"]])))
+            n = len(nodes)
+            first = [pa.array([bucket] * (n + 1), pa.int32()), pa.array([own.tobytes()] + [None] * n, pa.binary()), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(nodes)])]
+            yield pa.RecordBatch.from_arrays(first, ["bucket", "pairs", "node"])
+
+    return _units(packed).groupBy("unit").applyInArrow(run, "bucket int, pairs binary, node long")
 
-    return packed.groupBy("bucket").applyInArrow(run, "bucket int, pairs binary, node long")
+
+def _asked(asked: pa.Table) -> np.ndarray:
+    """A bucket's pairs, which come from several units, in one order wherever they are read."""
+    pairs = np.frombuffer(b"".join(asked.column("pairs").to_pylist()), PAIR)
+    return pairs[np.lexsort((pairs["b"], pairs["a"]))]
 
 
 def _parts(docs: DataFrame, ranges: int) -> DataFrame:
@@ -444,7 +492,7 @@ def _overlaps(asked: pa.Table, parts: pa.Table) -> pa.Table:
     """Partial overlaps of a bucket's pairs within one range, in the pairs' order."""
     if not asked.num_rows:
         return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "shared"])
-    pairs = np.frombuffer(asked.column("pairs")[0].as_py(), PAIR)
+    pairs = _asked(asked)
     sets = {n: np.frombuffer(p, np.uint64) for n, p in zip(parts.column("node").to_numpy().view(np.uint64).tolist(), parts.column("part").to_pylist())}
     a, b = pairs["a"], pairs["b"].tolist()
     shared = np.zeros(len(pairs), np.uint32)
@@ -465,7 +513,7 @@ def _overlaps(asked: pa.Table, parts: pa.Table) -> pa.Table:
 
 def _forest(asked: pa.Table, counted: pa.Table) -> pa.Table:
     """A spanning forest of a bucket's links: the overlaps of all ranges, summed, against what the sizes need."""
-    pairs = np.frombuffer(b"".join(asked.column("pairs").to_pylist()), PAIR)
+    pairs = _asked(asked)
     shared = np.zeros(len(pairs), np.int64)
     for blob in counted.column("shared").to_pylist():
         shared += np.frombuffer(blob, np.uint32)
@@ -553,13 +601,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", all_pairs: i
     bits = max(0, math.ceil(math.log2(max(1, 4 * entries / FRAGMENT_ENTRIES))))
     buckets = max(BUCKETS, math.ceil(entries / BUCKET_ENTRIES))
     ranges = min(64, max(RANGES, math.ceil(8 * total / (buckets * CELL_BYTES))))
-    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described, bits, split), bits), all_pairs, buckets, bits), _files(docs))
-    pairs, members = met.where("pairs is not null").select("bucket", "pairs"), met.where("hash is not null").select("hash", "share", "node", "size", "rank")
-    links = materialize(_verified(docs, nodes, materialize(_candidates(pairs, crossed=False), _files(docs)), ranges), _files(docs))
+    met = materialize(_meetings(_prefixes(docs.select("text"), _frequent(spark, described, bits, split), bits), all_pairs, bits), _files(docs))
+    pairs, members = met.where("pairs is not null").select("pairs", "n"), met.where("hash is not null").select("hash", "share", "node", "size", "rank")
+    links = materialize(_verified(docs, nodes, materialize(_candidates(pairs, False, buckets), _files(docs)), ranges), _files(docs))
     state = components(nodes, links)
-    rest = materialize(_unmet(members, state, buckets), _files(docs))
+    rest = materialize(_unmet(members, state), _files(docs))
     if rest.limit(1).count():
-        more = _verified(docs, nodes, materialize(_candidates(pairs.union(rest), crossed=True), _files(docs)), ranges)
+        more = _verified(docs, nodes, materialize(_candidates(pairs.union(rest), True, buckets), _files(docs)), ranges)
         state = components(nodes, links.union(materialize(more, _files(docs))))
     smallest = nodes.join(state, "node", "left").select("node", F.coalesce("label.doc", "doc").alias("component"))
     # a table of its own, so that the join below is of two exchanges, of which the adaptive planner splits a large group's

@@ -179,3 +179,43 @@ def test_names_that_clash(spark):
     df = docs(spark, ["one two three four five six"] * 2).withColumnsRenamed({"lang": "_nj_key", "source": "doc", "n_chars": "Hash"})
     out = ngram_join.join(df)
     assert out.columns == [*df.columns, "ngram_join"] and {r.ngram_join.component for r in out.collect()} == {0}
+
+
+def test_pairs_are_summed_in_bounded_parts(spark, monkeypatch):
+    """Their number follows the texts, not the entries: half of these texts share a line with each other and nothing else."""
+    for name, value in {"UNIT_PAIRS": 300, "HELD_PAIRS": 200, "STEP_PAIRS": 100, "ROW_PAIRS": 50, "HEAVY": 0, "PACKED": 1000}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    dealt, own = [], ngram_join._units
+    monkeypatch.setattr(ngram_join, "_units", lambda packed: dealt.append(own(packed)) or dealt[-1])
+    rng = random.Random(12)
+    shared = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(12)) for _ in range(3)]
+    texts = [f"{shared[i % 3]} {' '.join(rng.choice('klmnopqrst') * 2 for _ in range(30))}" for i in range(100)] + corpus(rng, 100)
+    same(spark, texts)
+    units = {}
+    for r in dealt[0].collect():
+        units[r.unit] = units.get(r.unit, 0) + len(r.pairs) // ngram_join.PAIR.itemsize
+    assert sum(units.values()) > 4 * 300 and max(units.values()) < 2 * 300
+
+
+def test_parts_of_meetings(monkeypatch):
+    """A fragment gives its pairs in parts, none of them much larger than what is held; together they are all pairs."""
+    n, entries = 60, []
+    for h in range(20):
+        part = np.zeros(n, ngram_join.ENTRY)
+        part["hash"], part["node"], part["size"] = h, np.arange(n) + n * h, 40
+        entries.append(part)
+    parts = list(ngram_join._met(np.concatenate(entries), 64, False))
+    assert sum(len(pairs) for pairs, _ in parts) == 20 * n * (n - 1) // 2 and not any(len(kept) for _, kept in parts)
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", 4000)
+    monkeypatch.setattr(ngram_join, "STEP_PAIRS", 2000)
+    few = list(ngram_join._met(np.concatenate(entries), 64, False))
+    assert len(few) > 4 and max(len(pairs) for pairs, _ in few) <= 4000 + 2 * 2000
+    assert np.array_equal(np.unique(np.concatenate([p for p, _ in few])), np.unique(np.concatenate([p for p, _ in parts])))
+
+
+def test_shingles_of_few_in_each_part_are_last(spark):
+    """Two of a part are enough; what is in many parts is frequent however small its share of each."""
+    texts = ["one two three four five six", "seven eight one two three four five", "nine ten eleven twelve thirteen"]
+    rows = ngram_join._described(docs(spark, texts).coalesce(1).selectExpr("doc_id doc", "doc_id same", "text")).where("hash is not null").collect()
+    (shared,) = set(ngram_join.shingles(texts[0]).tolist()) & set(ngram_join.shingles(texts[1]).tolist())
+    assert [(r["hash"] % 2**64, r["count"]) for r in rows] == [(shared, 2)]
