@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.llm.common import small
+from docengine.llm.common import released, small
 
 #: Words up to so many bytes are merged with the rank array.
 SHORT = 64
@@ -196,7 +196,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
             yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), out], [*keep, ids])
 
     source = df.select(*(f"`{c}`" for c in needed))
-    return source.mapInArrow(run, "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep) + f"`{ids}` array<int>")
+    return source.mapInArrow(lambda batches: released(run(batches)), "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep) + f"`{ids}` array<int>")
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded", keep: list[str] | None = None) -> DataFrame:

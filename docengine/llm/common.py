@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +41,17 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(start, BATCH_ROWS)
 
 
+def released(results: Iterator) -> Iterator:
+    """The results; after the last one, memory that the worker has no more use for goes back to the machine.
+
+    Workers outlive their tasks, and what their allocators hold would count in every later stage.
+    """
+    yield from results
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has, letter case aside."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from docengine.llm.common import small
+from docengine.llm.common import released, small
 
 CHUNK, LEVEL, MAX_CHUNKS = 4096, 3, 0.25
 #: Bytes below which a row holds, lowest and highest ratio. The shorter the text, the less a compressor finds in it. The
@@ -128,3 +128,18 @@ def assess(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
             yield pa.RecordBatch.from_arrays([*(b.column(needed.index(c)) for c in keep), *out], [*keep, *COLUMNS])
 
     return source.mapInArrow(run, "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep) + SCHEMA)
+
+
+def passing(df: DataFrame, text: str = "text") -> DataFrame:
+    """df's rows that the rules keep, with all their columns, whatever their names.
+
+    What a worker is given is held in the JVM and in Python at once, so each row travels once and rejected rows don't return.
+    """
+    place, verdict = df.columns.index(text), COLUMNS.index("kept")
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        return released(b.filter(pa.array([measure(t.as_py(), pack)[verdict] for t in b.column(place)], pa.bool_())) for b in small(batches))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

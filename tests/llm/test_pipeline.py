@@ -82,3 +82,26 @@ def test_groups_stage_writes_few_files(spark, sf_dir):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_quality_rules_move_texts_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = corpus_pipeline.quality_rules(spark, docs, sf_dir)._jdf.queryExecution()
+    rows = plan.toRdd().count()
+    node = plan.executedPlan()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    moved = {k: node.metrics().apply(k).value() for k in ("pythonDataSent", "pythonDataReceived")}
+    size, kept = (t.agg(F.sum(F.octet_length("text"))).first()[0] for t in (docs, corpus_pipeline.quality_rules(spark, docs, sf_dir)))
+    assert 0 < rows < docs.count()
+    assert size < moved["pythonDataSent"] < 1.3 * size
+    assert kept < moved["pythonDataReceived"] < 1.3 * kept
+
+
+def test_quality_rules_keep_any_columns(spark, sf_dir):
+    more = ("1 as kept", "doc_id as `a.b`", "array(doc_id) as ids", "named_struct('ratio', lang) as of")
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").union(edge_docs(spark).drop("size")).selectExpr("*", *more)
+    pack = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    out = corpus_pipeline.quality_rules(spark, df, sf_dir)
+    assert out.schema == df.schema
+    assert sorted(out.collect(), key=str) == sorted((r for r in df.collect() if quality.measure(r.text, pack)[6]), key=str) != []
